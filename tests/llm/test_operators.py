@@ -400,7 +400,7 @@ def test_token_files_match_the_library(spark, documents, awkward, texts, tmp_pat
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_path())
-    docs = documents.select("doc_id", "text").unionByName(awkward.select("doc_id", "text").where("doc_id is not null").selectExpr("-doc_id", "text"))
+    docs = documents.select("doc_id", "text").unionByName(awkward.select("doc_id", "text").where("doc_id is not null").selectExpr("-doc_id AS doc_id", "text"))
     token_files.write(docs, str(tmp_path / "out"), queries.tokenizer_path(), block_ids=5000)
     got = sorted(rows(token_files.read(spark, str(tmp_path / "out"), with_ids=True)), key=lambda r: r["start"])
     want = sorted([(i, t) for i, t in texts.items()] + [(-i, x) for i, x, _ in AWKWARD if i is not None], key=lambda x: x[0])
