@@ -34,6 +34,8 @@ CACHE_WORDS = 1_000_000
 _MARKS = string.punctuation
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 _SUMS = _LENGTHS.sum(1).astype(np.int64)
+#: Between tokenizing and sorting: ids in two or four bytes each, as the vocabulary needs (unranked ids rarely fit one).
+_IDS = "doc_id long, n long, ids binary"
 _BLOCK = "doc_ids array<long>, lengths array<long>, control binary, data binary"
 
 
@@ -82,6 +84,7 @@ class WordEncoder:
         self.cache_words = cache_words
         probe = "Zürich ÇA straße Ñandú İz ÿ It's a  Test,of \n\n don't <|endoftext|> x<|endoftext|>y 12,5 É.\t é ... , \x1c a\x85b"
         self.ends: dict[str, bytes] = {}
+        self.width = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         own = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c]
         spare = iter(range(256, 512))  # byte-level models name each other byte by the next of these
         self.byte_names = [chr(c) if c in own else chr(next(spare)) for c in range(256)]
@@ -171,11 +174,7 @@ def _tokenized(path: str, end_id: int):
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
                 ids = [np.append(encoder.encode(t), np.uint32(end_id)) for t in part.column(1).to_pylist()]
-                packed = [pack(x) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())],
-                    ["doc_id", "n", "control", "data"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(encoder.width).tobytes() for x in ids], pa.binary())], ["doc_id", "n", "ids"])
 
     return run
 
@@ -183,8 +182,9 @@ def _tokenized(path: str, end_id: int):
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for n, c, d in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            own = np.bincount(unpack(c, d, n))
+        n, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        if raw:
+            own = np.bincount(np.frombuffer(b"".join(raw), f"<u{len(raw[0]) // n[0]}"))
             if len(own) > len(total):
                 total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
             total[: len(own)] += own
@@ -195,21 +195,23 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _blocked(rank_of: np.ndarray, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block = TaskContext.get().partitionId(), 0
-        docs, held, size = [], [], 0
+        docs, lengths, held, size = [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            control, data = pack(np.concatenate(held))
-            row = [[part], [block], [docs], [[len(x) for x in held]], [control], [data]]
+            ids = np.frombuffer(b"".join(held), f"<u{len(held[0]) // lengths[0]}")
+            control, data = pack(rank_of[ids])
+            row = [[part], [block], [docs], [lengths], [control], [data]]
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["part", "block", "doc_ids", "lengths", "control", "data"])
 
         for batch in batches:
-            for doc, n, c, d in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for doc, n, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if held and size + n > block_ids:
                     yield out()
-                    docs, held, size, block = [], [], 0, block + 1
+                    docs, lengths, held, size, block = [], [], [], 0, block + 1
                 docs.append(doc)
-                held.append(rank_of[unpack(c, d, n)])
+                lengths.append(n)
+                held.append(raw)
                 size += n
         if held:
             yield out()
@@ -221,23 +223,23 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_I
     """Writes the ids of docs, each with end_id after them, to folder.
 
     Documents stand in ascending id order: null ids first, equal ids by their
-    packed ids; every row is written, repeated ones too. A null text is an
+    bytes; every row is written, repeated ones too. A null text is an
     empty one (its end_id alone). Texts are tokenized once, where they are
-    read; only packed ids are shuffled. A document is never cut: a block holds
+    read; only ids are shuffled. A document is never cut: a block holds
     block_ids ids at most unless one document has more. The counts that rank
     ids reach the driver: one number per id of the tokenizer's vocabulary.
     """
     spark = docs.sparkSession
     scratch = new_path(spark, "tokenized")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    slim.mapInArrow(_tokenized(tokenizer_path, end_id), "doc_id long, n long, control binary, data binary").write.option("compression", "zstd").parquet(scratch)
-    ids = spark.read.schema("doc_id long, n long, control binary, data binary").parquet(scratch)
-    counts = ids.select("n", "control", "data").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    slim.mapInArrow(_tokenized(tokenizer_path, end_id), _IDS).write.option("compression", "zstd").parquet(scratch)
+    ids = spark.read.schema(_IDS).parquet(scratch)
+    counts = ids.select("n", "ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     ranked = [r["id"] for r in sorted(counts, key=lambda r: (-r["n"], r["id"]))]
     rank_of = np.zeros(max(ranked, default=0) + 1, np.uint32)
     rank_of[ranked] = np.arange(len(ranked), dtype=np.uint32)
     spark.createDataFrame([(i, x) for i, x in enumerate(ranked)], "rank long, id long").coalesce(1).write.parquet(f"{folder}/ranks")
-    in_order = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "data", "control")
+    in_order = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     in_order.mapInArrow(_blocked(rank_of, block_ids), f"part long, block long, {_BLOCK}").write.option("compression", "none").parquet(f"{folder}/blocks")
     delete_path(spark, scratch)
 
