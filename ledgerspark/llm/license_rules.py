@@ -63,8 +63,8 @@ ruby; ruby; under the same terms as ruby
 php-3.01; php; subject to version 3 01 of the php license
 unlicense; public domain; this is free and unencumbered software released into the public domain
 unlicense; unlicense org; (?:http |https )?unlicense org
-wtfpl; what the fuck; do what the fuck you want to public license
-beerware; beer; you can buy me a beer in return
+wtfpl; fuck you want; do what the fuck you want to public license
+beerware; beer in return; you can buy me a beer in return
 cc0-1.0; waived; waived all copyright and related or neighboring rights
 cc0-1.0; creativecommons org; creativecommons org publicdomain zero 1 0
 public-domain; public domain; (?:released|placed|dedicated|donated) (?:in|into|to) the public domain
@@ -149,7 +149,7 @@ bsd-4-clause; bsd; bsd 4 clause
 bsd-2-clause; bsd; (?:simplified|freebsd) bsd licen[sc]e
 bsd-3-clause; bsd; (?:new|modified|revised) bsd licen[sc]e
 bsd-4-clause; bsd; (?:original|old) bsd licen[sc]e
-mit; mit; (?:x11 |expat )?mit license
+mit; mit license; (?:x11 |expat )?mit license
 mit; expat; expat license
 x11; x11 license; x11 license
 isc; isc license; isc license
@@ -209,7 +209,7 @@ upl-1.0; universal permissive; universal permissive license(?: (?:version |v ?)?
 bcl; bouncy castle; bouncy castle license
 mulan-1.0; mulan; mulan (?:permissive software license|psl) ?(?:version |v ?)?1
 mulan-2.0; mulan; mulan (?:permissive software license|psl) ?(?:version |v ?)?2
-anti-996; anti 996; anti 996 license
+anti-996; 996 license; anti 996 license
 hippocratic-2.1; hippocratic; hippocratic license(?: 2 1)?
 parity-7.0; parity; parity public license(?: 7 0(?: 0)?)?
 blueoak-1.0.0; blue oak; blue oak model license(?: 1 0 0)?
@@ -285,8 +285,8 @@ mpl; mozilla; mozilla public license
 epl; eclipse; eclipse public license
 cddl; common development; common development and distribution license
 bsd; bsd; bsd (?:style )?licen[sc]e[ds]?
-mit; mit; mit licen[sc]ed
-mit; mit style; mit style license
+mit; mit licen; mit licen[sc]ed
+mit; style license; mit style license
 artistic; artistic; artistic license
 cc-by; cc by; cc by
 cc-by-sa; cc by sa; cc by sa

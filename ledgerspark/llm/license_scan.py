@@ -22,8 +22,13 @@ def _let(value: Column, body) -> Column:
 
 
 def anchors() -> list[str]:
-    """One word of each keyword, the longest: a text without any of them can have no detection. Words in which another stands are left out."""
-    words = {max(keyword.split(), key=len) for _, _, keyword, _ in rules()} | {max(p.split(), key=len) for p in BASE if p != "cc by"}
+    """Strings of which any detection's text holds at least one: "licen" where a rule's pattern cannot match without it, else the longest word of its keyword. Strings in which another stands are left out."""
+    words = {max(p.split(), key=len) for p in BASE if p != "cc by"}
+    for _, _, keyword, pattern in rules():
+        bare, now = "", pattern.removeprefix("(?<= )(?:").removesuffix(")(?= )")
+        while bare != now:  # groups that may be missing
+            bare, now = now, re.sub(r"\((?:\?:)?[^()]*\)\?", "", now)
+        words.add("licen" if "licen" in bare and "|" not in bare else max(keyword.split(), key=len))
     words -= {"by", "cc"}
     return sorted(w for w in words if not any(o != w and o in w for o in words))
 
