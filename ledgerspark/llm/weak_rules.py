@@ -119,7 +119,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_from: float = 0.5) -> DataFrame:
-    """doc_id, the counts, base_failed, quality (posterior), kept: one row per row of docs.
+    """doc_id, the counts, base_failed, kept, posterior: one row per row of docs.
 
     kept: base_failed is false and the posterior is keep_from or more. A null
     or empty text has no words, so it fails the base rules. Repeated rows and
@@ -137,10 +137,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     codes = sorted(counted)
     patterns = np.array([[c // 3**i % 3 - 1 for i in range(len(rules))] for c in codes]).reshape(-1, len(rules))
     post, _, _ = fit(patterns, np.array([counted[c] for c in codes], float))
-    known = spark.createDataFrame([(c, float(round(p, 9))) for c, p in zip(codes, post, strict=True)], "votes int, quality double")
+    known = spark.createDataFrame([(c, float(round(p, 9))) for c, p in zip(codes, post, strict=True)], "votes int, posterior double")
     n = F.col("n_words")
     failed = (n < 20) | (100 * F.col("n_repeat_words") > 30 * n)
     return voted.join(F.broadcast(known), "votes").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & (F.col("quality") >= keep_from)).alias("kept"), "quality",
+        failed.alias("base_failed"), (~failed & (F.col("posterior") >= keep_from)).alias("kept"), "posterior",
     )
