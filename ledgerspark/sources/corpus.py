@@ -40,13 +40,17 @@ def report_type_of(doc_id: Column) -> Column:
     return out.otherwise(F.lit("unknown"))
 
 
+def text_of(content: Column) -> Column:
+    """Bytes as UTF-8, or as Latin-1 where they are not."""
+    return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1"))
+
+
 def read_reports(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
     """doc_id, path, text, ticker, year, report_type, n_lines of every .txt below root; bytes that are not UTF-8 are read as Latin-1."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").option("ignoreCorruptFiles", True).load(root)
     if limit is not None:
         raw = raw.orderBy("path").limit(limit)
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
-    docs = raw.select("path", text.alias("text")).withColumn("doc_id", doc_id_of(F.col("path")))
+    docs = raw.select("path", text_of(F.col("content")).alias("text")).withColumn("doc_id", doc_id_of(F.col("path")))
     return docs.select("doc_id", "path", "text", ticker_of(F.col("path"), F.col("doc_id")).alias("ticker"), year_of(F.col("path"), F.col("doc_id")).alias("year"), report_type_of(F.col("doc_id")).alias("report_type"), (F.regexp_count("text", F.lit("\n")) + 1).alias("n_lines"))
 
 

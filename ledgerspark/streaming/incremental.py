@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerspark.sources.corpus import doc_id_of, report_type_of, ticker_of, year_of
+from ledgerspark.sources.corpus import doc_id_of, report_type_of, text_of, ticker_of, year_of
 
 
 def new_reports(spark: SparkSession, root: str) -> DataFrame:
     """A stream of reports below root, one row a file."""
     raw = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(root)
-    docs = raw.select("path", F.decode("content", "UTF-8").alias("text"), doc_id_of(F.col("path")).alias("doc_id"))
+    docs = raw.select("path", text_of(F.col("content")).alias("text"), doc_id_of(F.col("path")).alias("doc_id"))
     return docs.withColumns({"ticker": ticker_of(F.col("path"), F.col("doc_id")), "year": year_of(F.col("path"), F.col("doc_id")), "report_type": report_type_of(F.col("doc_id"))})
 
 
