@@ -16,6 +16,8 @@ OVERHEAD = 16
 TASK_ROWS = 65_536
 #: Pieces that a split group may have for each shard of each task, and the most in all (they are numbered in one task).
 PIECES, MOST_PIECES = 4, 65_536
+#: What bytes, words and rows count for in the dot product. Bytes lead: the law is theirs.
+WEIGHTS = (16.0, 1.0, 1.0)
 #: A group is split if it has more than this part of what one task puts into one shard.
 WHOLE = 1 / 16
 
@@ -24,16 +26,17 @@ def pack(items: np.ndarray, totals: np.ndarray, shards: int, turn: int = 0) -> n
     """The shard of each item (bytes, words, rows).
 
     Items go in the given order, each to the shard whose residual capacity has
-    the largest dot product with the item, both as shares of the totals; equal
+    the largest dot product with the item, both as shares of the totals and by WEIGHTS; equal
     products: the next shard from `turn` on.
     """
     scale = np.where(totals > 0, totals, 1)
     left = np.full((shards, items.shape[1]), 1 / shards)
     unit = items / scale
+    weighted = unit * np.array(WEIGHTS)[: items.shape[1]]
     order = np.roll(np.arange(shards), -(turn % shards))
     out = np.empty(len(items), np.int64)
-    for i, u in enumerate(unit):
-        at = order[np.argmax((left @ u)[order])]
+    for i, (u, w) in enumerate(zip(unit, weighted, strict=True)):
+        at = order[np.argmax((left @ w)[order])]
         out[i] = at
         left[at] -= u
     return out

@@ -15,6 +15,8 @@ from ledgerspark.llm.common import written
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 ROUNDS, MIN_ACCURACY, MAX_ACCURACY, PRIOR_STRENGTH, PRIOR_ACCURACY = 100, 0.55, 0.99, 20.0, 0.85
+#: The class balance that is assumed.
+SHARE_GOOD = 0.5
 _SPACES = " \t\n\v\f\r"
 _SPACE_BYTES, _SYMBOL_BYTES = ([c.encode() for c in x] for x in (_SPACES, SYMBOLS))
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -74,48 +76,51 @@ def _features(texts: pd.Series) -> pd.DataFrame:
 
 
 def votes() -> dict[str, Column]:
-    """1: good, 0: bad, -1: abstains. Each rule sees the counts alone."""
+    """1: good, 0: bad, -1: abstains. Each rule sees the counts alone. A rule that looks for one fault abstains where it finds none: that a text has no pipes says little for it."""
     n = F.col("n_words")
+    mean = F.col("word_chars") / F.greatest(n, F.lit(1))
+    prose = (n >= 20) & mean.between(2.5, 9) & (F.col("n_symbols") <= 0.05 * n) & (F.col("n_upper") <= 0.15 * n) & (F.col("n_marks") <= 0.01 * n)
+    varied = (F.col("n_distinct") >= F.least(0.2 * n, F.lit(200))) & (F.col("n_repeat_words") <= 0.15 * n)
 
-    def vote(bad: Column, good: Column) -> Column:
-        return F.when(bad, 0).when(good, 1).otherwise(-1).cast("int")
+    def fault(bad: Column) -> Column:
+        return F.when(bad, 0).otherwise(-1).cast("int")
 
-    mean = F.col("word_chars") / F.greatest(n, F.lit(1))
     return {
-        "length": vote(n < 20, n >= 50),
-        "word_length": vote((mean < 2.5) | (mean > 12), (mean >= 3) & (mean <= 9) & (n >= 20)),
-        "symbols": vote(F.col("n_symbols") > 0.3 * n, (F.col("n_symbols") <= 0.02 * n) & (n >= 20)),
-        "upper": vote(F.col("n_upper") > 0.4 * n, (F.col("n_upper") <= 0.1 * n) & (n >= 20)),
-        "exclaim": vote(F.col("n_marks") > 0.2 * n, (F.col("n_marks") == 0) & (n >= 20)),
-        "lines": vote(F.col("n_dup_lines") > 0.3 * F.col("n_lines"), (F.col("n_dup_lines") == 0) & (n >= 20)),
-        "repeats": vote(F.col("n_repeat_words") > 0.3 * n, (F.col("n_repeat_words") <= 0.05 * n) & (n >= 20)),
-        "variety": vote((F.col("n_distinct") < 0.1 * n) & (n < 2000), (F.col("n_distinct") > 0.3 * n) & (n >= 20)),
+        "length": fault(n < 20),
+        "word_length": fault((mean < 2) | (mean > 12)),
+        "symbols": fault(F.col("n_symbols") > 0.3 * n),
+        "upper": fault(F.col("n_upper") > 0.4 * n),
+        "exclaim": fault(F.col("n_marks") > 0.2 * n),
+        "repeats": fault((F.col("n_repeat_words") > 0.3 * n) | (F.col("n_dup_lines") > 0.5 * F.col("n_lines"))),
+        "prose": F.when(prose, 1).otherwise(-1).cast("int"),
+        "varied": F.when(prose & varied, 1).when(~varied, 0).otherwise(-1).cast("int"),
     }
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posterior of good for each vote pattern, the rules' accuracies on (good, bad) documents, and the share of good.
+def fit(patterns: np.ndarray, counts: np.ndarray, share: float = SHARE_GOOD) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of good for each vote pattern, and the accuracy of each rule where it votes.
 
-    Each rule's accuracy has a Beta prior of PRIOR_STRENGTH votes around
-    PRIOR_ACCURACY and stays within MIN_ACCURACY and MAX_ACCURACY, so that
-    good and bad cannot change places.
+    A rule is right with one probability whichever way it votes, as most vote
+    one way only. share is the class balance that is assumed, not estimated:
+    with faults that only one rule sees, an estimated one would drift to all
+    good. Each accuracy has a Beta prior of PRIOR_STRENGTH votes around
+    PRIOR_ACCURACY and stays within MIN_ACCURACY and MAX_ACCURACY, so that good
+    and bad cannot change places.
     """
-    k = patterns.shape[1]
-    voted = [(patterns == v) for v in (0, 1)]
-    acc, share = np.full((2, k), PRIOR_ACCURACY), 0.5
+    good, bad = patterns == 1, patterns == 0
+    acc = np.full(patterns.shape[1], PRIOR_ACCURACY)
     post = np.full(len(counts), 0.5)
     for _ in range(ROUNDS):
-        good = np.log(share) + voted[1] @ np.log(acc[1]) + voted[0] @ np.log1p(-acc[1])
-        bad = np.log1p(-share) + voted[0] @ np.log(acc[0]) + voted[1] @ np.log1p(-acc[0])
-        new = 1 / (1 + np.exp(np.clip(bad - good, -60, 60)))
-        for v, w in ((1, new * counts), (0, (1 - new) * counts)):
-            right, all_ = w @ voted[v], w @ (voted[0] | voted[1])
-            acc[v] = np.clip((right + PRIOR_STRENGTH * PRIOR_ACCURACY) / (all_ + PRIOR_STRENGTH), MIN_ACCURACY, MAX_ACCURACY)
-        share = float(np.clip((new @ counts + 1) / (counts.sum() + 2), 0.05, 0.95))
+        weight = np.log(acc) - np.log1p(-acc)
+        odds = np.log(share) - np.log1p(-share) + good @ weight - bad @ weight
+        new = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
+        right = (new * counts) @ good + ((1 - new) * counts) @ bad
+        voted = counts @ (good | bad)
+        acc = np.clip((right + PRIOR_STRENGTH * PRIOR_ACCURACY) / (voted + PRIOR_STRENGTH), MIN_ACCURACY, MAX_ACCURACY)
         done, post = np.abs(new - post).max(initial=0) < 1e-9, new
         if done:
             break
-    return post, acc, share
+    return post, acc
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_from: float = 0.5) -> DataFrame:
@@ -136,7 +141,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     counted = Counter({r["votes"]: r["n"] for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()})
     codes = sorted(counted)
     patterns = np.array([[c // 3**i % 3 - 1 for i in range(len(rules))] for c in codes]).reshape(-1, len(rules))
-    post, _, _ = fit(patterns, np.array([counted[c] for c in codes], float))
+    post, _ = fit(patterns, np.array([counted[c] for c in codes], float))
     known = spark.createDataFrame([(c, float(round(p, 9))) for c, p in zip(codes, post, strict=True)], "votes int, posterior double")
     n = F.col("n_words")
     failed = (n < 20) | (100 * F.col("n_repeat_words") > 30 * n)
