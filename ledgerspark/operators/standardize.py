@@ -65,38 +65,50 @@ def frames(tables: DataFrame) -> DataFrame:
 
 
 def cells(framed: DataFrame) -> DataFrame:
-    """One row a cell: table_ref, row_idx, col_idx, column_label, cell and the table's own columns."""
-    rows = framed.select("*", F.posexplode("body").alias("row_idx", "_row"))
-    out = rows.select("*", F.posexplode(F.arrays_zip(F.col("columns").alias("label"), F.col("_row").alias("cell"))).alias("col_idx", "_c"))
-    return out.select(*[c for c in framed.columns if c not in ("columns", "body")], "row_idx", "col_idx", F.col("_c.label").alias("column_label"), F.trim(F.coalesce("_c.cell", F.lit(""))).alias("cell"))
+    """One row a cell: table_ref, row_idx, col_idx, column_label, p (the label's period), cell and the table's own columns.
+
+    Labels are parsed once a table, before its cells are parted.
+    """
+    dated = framed.withColumn("_p", F.transform("columns", lambda c: parse_period(c, F.col("fallback_year"))))
+    rows = dated.select("*", F.posexplode("body").alias("row_idx", "_row"))
+    zipped = F.arrays_zip(F.col("columns").alias("label"), F.col("_p").alias("p"), F.col("_row").alias("cell"))
+    out = rows.select("*", F.posexplode(zipped).alias("col_idx", "_c"))
+    kept = [c for c in framed.columns if c not in ("columns", "body")]
+    return out.select(*kept, "row_idx", "col_idx", F.col("_c.label").alias("column_label"), F.col("_c.p").alias("p"), F.trim(F.coalesce("_c.cell", F.lit(""))).alias("cell"))
 
 
 def column_roles(eav: DataFrame) -> DataFrame:
-    """table_ref, col_idx, role (item, code, period, category or null), p (year, period, source_date)."""
+    """eav with figure (its cell as a number) and role (item, code, period, category or null).
+
+    All statistics are windows within one table_ref, so cells are shuffled once
+    by it and nothing is joined; a window holds one table, never a corpus.
+    """
     filled = F.col("cell") != ""
-    stats = eav.groupBy("table_ref", "col_idx", "column_label", "fallback_year").agg(
-        F.count_if(filled).alias("n"),
-        F.avg(F.when(filled, (parse_number(F.col("cell")).isNull()).cast("int"))).alias("text"),
-        F.avg(F.when(filled, F.length("cell"))).alias("length"),
-        F.avg(F.when(filled, F.col("cell").rlike(r"^\d{2,3}$").cast("int"))).alias("code"),
+    column, table = Window.partitionBy("table_ref", "col_idx"), Window.partitionBy("table_ref")
+    s = eav.withColumn("figure", parse_number(F.col("cell"))).withColumns(
+        {
+            "_n": F.count_if(filled).over(column),
+            "_text": F.avg(F.when(filled, F.col("figure").isNull().cast("int"))).over(column),
+            "_length": F.avg(F.when(filled, F.length("cell"))).over(column),
+            "_codes": F.avg(F.when(filled, F.col("cell").rlike(r"^\d{2,3}$").cast("int"))).over(column),
+        }
     )
-    table = Window.partitionBy("table_ref")
-    s = stats.withColumn("p", parse_period(F.col("column_label"), F.col("fallback_year")))
-    s = s.withColumn("_item_score", F.when(_hinted(F.col("column_label"), ITEM_HINTS), 2.0).otherwise(F.col("text") * F.least(F.col("length") / 10, F.lit(1.0))))
+    s = s.withColumn("_item_score", F.when(_hinted(F.col("column_label"), ITEM_HINTS), 2.0).otherwise(F.col("_text") * F.least(F.col("_length") / 10, F.lit(1.0))))
     s = s.withColumn("_item", F.max_by(F.when(F.col("_item_score") > 0.3, F.col("col_idx")), F.struct(F.coalesce("_item_score", F.lit(-1.0)), -F.col("col_idx"))).over(table))
-    by_stats = (F.col("n") >= 3) & (F.col("code") > 0.7) & F.col("p").isNull()
+    by_stats = (F.col("_n") >= 3) & (F.col("_codes") > 0.7) & F.col("p").isNull()
     code_score = F.when(_hinted(F.col("column_label"), CODE_HINTS), 2).when(by_stats, 1).otherwise(0)
     s = s.withColumn("_code_score", F.when(F.col("col_idx").eqNullSafe(F.col("_item")), 0).otherwise(code_score))
     s = s.withColumn("_code", F.max_by(F.when(F.col("_code_score") > 0, F.col("col_idx")), F.struct("_code_score", -F.col("col_idx"))).over(table))
-    free = ~F.col("col_idx").eqNullSafe(F.col("_item")) & ~F.col("col_idx").eqNullSafe(F.col("_code"))
-    first = F.row_number().over(Window.partitionBy("table_ref", F.when(free, F.col("p.year")), F.when(free, F.col("p.period"))).orderBy(free.cast("int").desc(), "col_idx")) == 1
+    s = s.withColumn("_free", ~F.col("col_idx").eqNullSafe(F.col("_item")) & ~F.col("col_idx").eqNullSafe(F.col("_code")))
+    same = Window.partitionBy("table_ref", F.when(F.col("_free"), F.col("p.year")), F.when(F.col("_free"), F.col("p.period")))
+    first = F.col("col_idx") == F.min(F.when(F.col("_free"), F.col("col_idx"))).over(same)
     role = (
         F.when(F.col("col_idx").eqNullSafe(F.col("_item")), "item")
         .when(F.col("col_idx").eqNullSafe(F.col("_code")), "code")
         .when(F.col("p").isNotNull() & first, "period")
-        .when(F.col("p").isNull() & (1 - F.col("text") >= 0.6) & ~_hinted(F.col("column_label"), SKIP_HINTS), "category")
+        .when(F.col("p").isNull() & (1 - F.col("_text") >= 0.6) & ~_hinted(F.col("column_label"), SKIP_HINTS), "category")
     )
-    return s.select("table_ref", "col_idx", role.alias("role"), "p")
+    return s.select(*eav.columns, "figure", role.alias("role"))
 
 
 def to_facts(tables: DataFrame) -> DataFrame:
@@ -108,31 +120,30 @@ def to_facts(tables: DataFrame) -> DataFrame:
     category, and both prefix the items below.
     """
     slim = frames(tables.select("table_ref", "rows", "section", "unit", "unit_scale", "ticker", "fallback_year"))
-    eav = cells(slim)
-    e = eav.join(column_roles(eav), ["table_ref", "col_idx"]).withColumn("value", parse_number(F.col("cell"), scale=F.col("unit_scale")))
-    has_axis = F.max(F.col("role").isin("period", "category").cast("int")).over(Window.partitionBy("table_ref")) == 1
-    e = e.withColumn("_axis", has_axis)
+    e = column_roles(cells(slim)).withColumn("value", F.col("figure") * F.col("unit_scale"))
+    e = e.withColumn("_axis", F.max(F.col("role").isin("period", "category").cast("int")).over(Window.partitionBy("table_ref")) == 1)
     data = F.when(F.col("_axis"), F.col("role").isin("period", "category")).otherwise(F.coalesce(~F.col("role").isin("item", "code"), F.lit(True)))
-    e = e.withColumn("_data", F.coalesce(data, F.lit(False)))
-    row = e.groupBy("table_ref", "row_idx").agg(
-        F.max(F.when(F.col("role") == "item", F.col("cell"))).alias("raw_item"),
-        F.max(F.when((F.col("role") == "code") & (F.col("cell") != ""), F.col("cell"))).alias("item_code"),
-        F.max((F.col("_data") & F.col("value").isNotNull()).cast("int")).alias("has_value"),
-        F.min(F.when(F.col("_data") & F.col("value").isNotNull(), F.col("col_idx"))).alias("first_col"),
+    e = e.withColumn("_data", F.coalesce(data, F.lit(False)) & F.col("value").isNotNull())
+    row = Window.partitionBy("table_ref", "row_idx")
+    e = e.withColumns(
+        {
+            "raw_item": F.max(F.when(F.col("role") == "item", F.col("cell"))).over(row),
+            "item_code": F.max(F.when((F.col("role") == "code") & (F.col("cell") != ""), F.col("cell"))).over(row),
+            "_has_value": F.max(F.col("_data").cast("int")).over(row),
+            "_first_col": F.min(F.when(F.col("_data"), F.col("col_idx"))).over(row),
+        }
     ).where("raw_item <> ''")
     heading = F.trim(F.regexp_replace("raw_item", r"^[-+*\s]+", ""))
     letters = F.regexp_replace(heading, r"[^\p{L}]", "")
     is_section = heading.rlike(r"^[IVXLCDM]+\b") | ((F.upper(heading) == heading) & (letters != "") & (F.length(heading) > 3))
+    # all cells of a row carry the same mark, so their order within the row does not matter
     down = Window.partitionBy("table_ref").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    mark = F.when(F.col("has_value") == 0, F.struct("row_idx", is_section.alias("is_section"), heading.alias("text")))
-    row = row.withColumn("_mark", mark)
-    row = row.withColumn("_section", F.last(F.when(F.col("_mark.is_section"), F.col("_mark.text")), ignorenulls=True).over(down)).withColumn("_last", F.last("_mark", ignorenulls=True).over(down))
+    e = e.withColumn("_mark", F.when(F.col("_has_value") == 0, F.struct(is_section.alias("is_section"), heading.alias("text"))))
+    e = e.withColumns({"_section": F.last(F.when(F.col("_mark.is_section"), F.col("_mark.text")), ignorenulls=True).over(down), "_last": F.last("_mark", ignorenulls=True).over(down)})
     prefix = F.concat_ws(" - ", "_section", F.when(~F.col("_last.is_section"), F.col("_last.text")))
-    item = F.when((prefix == "") | F.contains("raw_item", prefix), F.col("raw_item")).otherwise(F.concat_ws(" - ", prefix, "raw_item"))
-    row = row.where("has_value = 1").select("table_ref", "row_idx", item.alias("item"), "raw_item", "item_code", "first_col")
-    names = row.select("item", "raw_item").distinct().select("item", "raw_item", F.coalesce(map_one(F.col("item")), map_one(F.col("raw_item"))).alias("metric"))
-    values = e.where(F.col("_data") & F.col("value").isNotNull()).join(row, ["table_ref", "row_idx"]).where(F.col("_axis") | (F.col("col_idx") == F.col("first_col")))
-    return values.join(names, ["item", "raw_item"]).select(
+    item = let(prefix, lambda p: F.when((p == "") | F.contains(F.col("raw_item"), p), F.col("raw_item")).otherwise(F.concat_ws(" - ", p, F.col("raw_item"))))
+    values = e.where(F.col("_data") & (F.col("_axis") | (F.col("col_idx") == F.col("_first_col"))))
+    return values.withColumn("item", item).select(
         "ticker", F.coalesce("p.year", "fallback_year").alias("year"), F.coalesce("p.period", F.lit("unknown")).alias("period"), F.col("p.source_date").alias("source_date"), "section", "item", "item_code",
-        "row_idx", F.when(F.col("_axis"), F.col("column_label")).otherwise("").alias("column_label"), "metric", "value", "unit", "table_ref",
+        "row_idx", F.when(F.col("_axis"), F.col("column_label")).otherwise("").alias("column_label"), F.coalesce(map_one(F.col("item")), map_one(F.col("raw_item"))).alias("metric"), "value", "unit", "table_ref",
     )
