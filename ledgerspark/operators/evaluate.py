@@ -113,6 +113,6 @@ def integrity(manifest: DataFrame, files: DataFrame, key: str = "table_ref", max
     return out.withColumn("ok", (F.col("missing") == 0) & (F.col("repeated") == 0) & (F.col("orphans") <= max_orphans * F.col("files")))
 
 
-def ambiguous(facts: DataFrame) -> DataFrame:
+def ambiguous(facts: DataFrame, by: list[str] | tuple[str, ...] = ("item", "year", "period")) -> DataFrame:
     """(item, year, period) with more than one value; null keys group together."""
-    return facts.groupBy("item", "year", "period").agg(F.count_distinct("value").alias("n_values")).where("n_values > 1")
+    return facts.groupBy(*by).agg(F.count_distinct("value").alias("n_values")).where("n_values > 1")
