@@ -111,3 +111,46 @@ def check_sql(spark, text: str) -> None:
     called = {f.lower() for f in re.findall(r"(?i)\b(\w+)\s*\(", text)}
     if called & {"reflect", "try_reflect", "java_method", "read_files", "http_request", "input_file_name", "current_user", "session_user"}:
         raise ValueError("the statement calls a function that reaches outside its tables")
+
+
+def answer_all(questions: DataFrame, chosen: DataFrame, facts: DataFrame) -> DataFrame:
+    """Every question over its chosen tables in one plan: id, value (base currency), query.
+
+    questions (id, question, years, tickers, metrics, requested_period), as
+    retrieve.analyze gives them; chosen (question_id, table_ref, place). A
+    question for a ratio of FORMULAS takes its parts by metric; any other one
+    takes the fact whose item matches best, then metric, year, period and place
+    decide. Questions without a fact have a null value. Facts join on table_ref
+    alone, and each question's best is an aggregate that combines before the
+    shuffle.
+    """
+    from ledgerspark.plans.context import anchor_score
+
+    q = questions.select(F.col("id").alias("question_id"), "question", "years", "tickers", "metrics", "requested_period")
+    f = facts.where("value is not null").select("table_ref", "ticker", "year", "period", "item", "metric", "row_idx", "column_label", "value")
+    pool = chosen.select("question_id", "table_ref", "place").join(q, "question_id").join(f, "table_ref")
+    fits = (F.size("tickers") == 0) | F.array_contains("tickers", F.col("ticker"))
+    in_year = (F.size("years") == 0) | F.coalesce(F.array_contains("years", F.col("year")), F.lit(False))
+    rank = F.when(F.col("period") == F.col("requested_period"), 0).when(F.col("period") == "closing", 1).when(F.col("period") == "annual", 2).when(F.col("period") == "unknown", 4).otherwise(3)
+    pool = pool.where(F.coalesce(fits, F.lit(False))).withColumns({"_off": F.when(in_year, 0).otherwise(1), "_rank": rank})
+
+    parts = sorted({m for top, less, below, _ in terms.FORMULAS.values() for m in (top, less, below) if m})
+    order = F.struct("_off", "_rank", "place", "row_idx", "column_label", "table_ref")
+    by_metric = pool.where(F.col("metric").isin(parts)).groupBy("question_id", "metrics", "metric").agg(F.min_by("value", order).alias("value"))
+    wide = by_metric.groupBy("question_id", "metrics").agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in parts])
+    named = F.coalesce(*[F.when(F.array_contains("metrics", m), terms.ratio(m, F.col)) for m in terms.FORMULAS])
+    which = F.get(F.array_intersect("metrics", F.array(*map(F.lit, terms.FORMULAS))), F.lit(0))
+    ratios = wide.select("question_id", named.alias("ratio"), which.alias("name")).where("name is not null")
+
+    score = F.coalesce(F.round(anchor_score(F.col("question"), F.col("item")), 6), F.lit(-1.0)) + F.when(F.array_contains("metrics", F.col("metric")), 4).otherwise(0)
+    matched = pool.withColumn("_score", score).where("_score > 0")
+    best = matched.groupBy("question_id").agg(F.min_by(F.struct("value", "table_ref", "item", "year", "period"), F.struct((-F.col("_score")).alias("s"), "_off", "_rank", "place", "row_idx", "column_label", "table_ref")).alias("b"))
+    text = F.concat(
+        F.lit("SELECT value AS result FROM all_df WHERE table_ref = '"), F.replace("b.table_ref", F.lit("'"), F.lit("''")), F.lit("' AND item = '"), F.replace("b.item", F.lit("'"), F.lit("''")), F.lit("'"),
+        F.coalesce(F.concat(F.lit(" AND year = "), F.col("b.year")), F.lit("")), F.coalesce(F.concat(F.lit(" AND period = '"), F.col("b.period"), F.lit("'")), F.lit("")),
+    )
+    both = q.select(F.col("question_id")).join(best, "question_id", "left").join(ratios, "question_id", "left")
+    return both.select(
+        F.col("question_id").alias("id"), F.when(F.col("name").isNotNull(), F.col("ratio")).otherwise(F.col("b.value")).alias("value"),
+        F.when(F.col("name").isNotNull(), F.concat(F.lit("-- "), "name", F.lit(" of the chosen tables' metrics"))).otherwise(text).alias("query"),
+    )
