@@ -55,7 +55,7 @@ if __name__ == "__main__":
     import __spark_entry__ as e
 
     sf = sys.argv[1]
-    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").getOrCreate()
+    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
     con, runs, sqls = duck(sf), e.queries(), e.oracle_sql()
     for name in sys.argv[2:] or [n for n in runs if not n.startswith("op") and n != "pipeline"] + ["op3_line_windows"]:
