@@ -165,33 +165,25 @@ def budget(n_tickers: Column, n_years: Column, derived: Column, low: int = MIN_T
     )
 
 
-_CHOSEN = "question_id long, table_ref string, score double, place int"
-
-
-def _cover(pool: pd.DataFrame, low: int, high: int, ratio: float) -> list[int]:
-    """Rows of one question's ordered pool that are chosen, in order."""
-    score, room = pool["score"].to_numpy(), int(pool["budget"].iloc[0])
+def _cover(score: list[float], ticker: list[str], hits: list[str], section: list[str | None], asked: list[str], years: list[int], two: bool, room: int, low: int, high: int, ratio: float) -> list[int]:
+    """Places in one question's ordered pool that are chosen, in order. hits holds the asked years that a table mentions, as ,2019,2020,"""
+    n = len(score)
     cutoff = score[0] * ratio if score[0] > 0 else -float("inf")
-    chosen = [i for i in range(min(room, len(pool))) if score[i] >= cutoff]
+    chosen = [i for i in range(min(room, n)) if score[i] >= cutoff]
     if len(chosen) < low:
-        chosen = list(range(min(low, len(pool))))
-    ticker = [str(d).partition("_")[0].upper() if "_" in str(d) else "" for d in pool["doc_id"]]
-    years = [f"{d} {c or ''}" for d, c in zip(pool["doc_id"], pool["card"], strict=True)]
-    section = pool["section"].tolist()
-    first = pool.iloc[0]
-    asked = [str(t).upper() for t in first["tickers"]] if first["tickers"] is not None else []
-    wants = [(ticker.__getitem__, t) for t in asked] if len(asked) > 1 else []
-    wants += [((lambda i, y=y: y if y in years[i] else None), y) for y in map(str, first["years"] if first["years"] is not None else [])]
-    wants += [(section.__getitem__, s) for s in ("income_statement", "balance_sheet")] if first["two_sections"] else []
-    for of, want in wants:
-        if any(of(i) == want for i in chosen):
+        chosen = list(range(min(low, n)))
+    companies = [(lambda i, t=t.upper(): ticker[i] == t) for t in asked] if len(asked) > 1 else []
+    others = [(lambda i, y=y: f",{y}," in hits[i]) for y in years]
+    others += [(lambda i, s=s: section[i] == s) for s in ("income_statement", "balance_sheet")] if two else []
+    for k, meets in enumerate(companies + others):
+        if any(meets(i) for i in chosen):
             continue
-        found = next((i for i in range(len(pool)) if i not in chosen and of(i) == want), None)
+        found = next((i for i in range(n) if i not in chosen and meets(i)), None)
         if found is None:
             continue
         if len(chosen) < high:
             chosen.append(found)
-        elif of == ticker.__getitem__:  # a company's second table gives way to a company without any
+        elif k < len(companies):  # a company's second table gives way to a company without any
             held = [ticker[i] for i in chosen]
             spare = next((p for p in reversed(range(len(chosen))) if held.count(held[p]) > 1), None)
             if spare is not None:
@@ -206,16 +198,22 @@ def choose(pool: DataFrame, questions: DataFrame, low: int = MIN_TABLES, high: i
     questions (question_id, tickers, years, metrics, needs_derived). Taken are
     the first tables within the budget whose score is near the best, low at
     least; then the best table of each company, year and section still missing.
-    Each group holds candidates rows at most, so one task sees a bounded group.
+    A question gathers candidates small rows at most, without cards; the greedy
+    step sees many questions a batch.
     """
     two = F.coalesce(F.col("needs_derived") & F.arrays_overlap("metrics", F.array(*map(F.lit, TWO_SECTIONS))), F.lit(False))
-    q = questions.select("question_id", "tickers", "years", two.alias("two_sections"), budget(F.size("tickers"), F.size("years"), F.col("needs_derived"), low, high).alias("budget"))
-    joined = pool.where(F.col("place") <= candidates).select("question_id", "table_ref", "doc_id", "section", "card", "score", "place").join(q, "question_id")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["place", "table_ref"], ignore_index=True)
-        out = group.iloc[_cover(group, low, high, ratio)][["question_id", "table_ref", "score"]].copy()
-        out["place"] = range(1, len(out) + 1)
-        return out
-
-    return joined.groupBy("question_id").applyInPandas(run, _CHOSEN)
+    q = questions.select("question_id", "tickers", "years", two.alias("two"), budget(F.size("tickers"), F.size("years"), F.col("needs_derived"), low, high).alias("room"))
+    said = F.concat_ws(" ", "doc_id", "card")
+    hits = F.concat(F.lit(","), F.array_join(F.filter(F.col("years").cast("array<string>"), lambda y: F.contains(said, y)), ","), F.lit(","))
+    ticker = F.when(F.contains("doc_id", F.lit("_")), F.upper(F.substring_index("doc_id", "_", 1))).otherwise("")
+    rows = pool.where(F.col("place") <= candidates).join(q, "question_id").select("question_id", "tickers", "years", "two", "room", F.struct("place", "table_ref", "score", F.coalesce(ticker, F.lit("")).alias("ticker"), hits.alias("hits"), "section").alias("r"))
+    grouped = rows.groupBy("question_id").agg(F.array_sort(F.collect_list("r")).alias("r"), *[F.first(c).alias(c) for c in ("tickers", "years", "two", "room")])
+
+    @F.pandas_udf("array<int>")
+    def pick(score: pd.Series, ticker: pd.Series, hits: pd.Series, section: pd.Series, asked: pd.Series, years: pd.Series, two: pd.Series, room: pd.Series) -> pd.Series:
+        each = zip(score, ticker, hits, section, asked, years, two, room, strict=True)
+        return pd.Series([_cover(list(s), list(t), list(h), list(c), [] if a is None else list(a), [] if y is None else list(y), bool(b), int(n), low, high, ratio) for s, t, h, c, a, y, b, n in each], dtype=object)
+
+    picked = grouped.withColumn("p", pick("r.score", "r.ticker", "r.hits", "r.section", "tickers", "years", "two", "room"))
+    taken = picked.select("question_id", "r", F.posexplode("p").alias("k", "i")).withColumn("t", F.get("r", F.col("i")))
+    return taken.select("question_id", "t.table_ref", "t.score", (F.col("k") + 1).alias("place"))
