@@ -12,8 +12,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 1: the token at this offset must agree; 0: any token may stand there.
-MASKS = ("1101100101011", "11101001100111", "110010111010011")
+#: By least window: masks (1: the token at this offset must agree; 0: any token may stand there) of which one at least
+#: lies on agreeing tokens alone in every window of that many tokens or more, up to the next entry, that passes AGREE.
+LOSSLESS = {
+    8: ("111111", "1110111", "11011011"),
+    10: ("110111", "11010011", "11111"),
+    12: ("11101011", "1100100111", "111111"),
+    15: ("1111011", "11001000111", "11010100011"),
+    20: ("11101111", "1101100001011", "1100000010010111", "1111010011"),
+}
+MASKS = tuple(dict.fromkeys(m for masks in LOSSLESS.values() for m in masks))
 #: Items with fewer tokens identify nothing and are not searched for.
 MIN_ITEM = 8
 #: An overlap is this many aligned tokens (a shorter item: all its tokens) ...
@@ -64,8 +72,7 @@ def build(rows: list[tuple[int, list[bytes]]]) -> Seeds:
     starts = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
     by: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     for x, start in zip(ids, starts, strict=False):
-        for mask in MASKS:
-            own = mask[: len(x)]  # an item shorter than a mask is sought with as much of it as fits
+        for own in LOSSLESS[max(w for w in LOSSLESS if w <= len(x))]:
             offsets = np.flatnonzero(np.array(list(own)) == "1")
             at = np.arange(len(x) - len(own) + 1)
             by.setdefault(own, []).append((_hash(x, offsets, at), start + at))
@@ -188,7 +195,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     position and an item position are a hit if they agree at all selected
     positions of one mask; around each hit the item is laid along the document,
     and an overlap holds if WINDOW aligned tokens (all of a shorter item) agree
-    in AGREE of them, whatever the substitutions. n_aligned tokens are in such
+    in AGREE of them, whatever the substitutions: no such window is without a
+    hit of the masks for the item's length. n_aligned tokens are in such
     windows, n_same of them agree; doc_word and item_word are where they begin.
     Equal overlaps of one item: the one with most agreeing tokens, then the
     first. Null and empty texts match nothing, items of fewer than MIN_ITEM

@@ -3,6 +3,7 @@
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -78,6 +79,28 @@ def test_decontamination_finds_substituted_copies_and_leaves_the_rest(spark, awk
     assert decontam.overlaps(docs, bench.limit(0)).count() == 0 and decontam.overlaps(docs.limit(0), bench).count() == 0
 
 
+def test_masks_hit_every_window_that_agrees_enough():
+    for w in range(decontam.MIN_ITEM, decontam.WINDOW + 1):
+        spared = w - min(n for n in range(w + 1) if n >= decontam.AGREE * w)
+        changed = [sum(1 << i for i in c) for c in combinations(range(w), spared)]
+        own = [least for least in decontam.LOSSLESS if least <= w]
+        masks = [int(m, 2) << at for m in decontam.LOSSLESS[max(own)] for at in range(w - len(m) + 1)]
+        assert all(any(not c & m for m in masks) for c in changed), w
+
+
+@pytest.mark.parametrize("n", [8, 9, 10, 12, 14, 15, 16, 18, 19, 20, 25, 38, 59])
+def test_recall_is_that_of_a_search_without_masks(n):
+    rng = np.random.default_rng(n)
+    item = [f"w{i}".encode() for i in range(n)]
+    seeds, w = decontam.build([(1, item)]), min(n, decontam.WINDOW)
+    every_fifth = [[i for i in range(n) if i % 5 == r] for r in range(5)]
+    for gone in every_fifth + [rng.choice(n, int(rng.integers(0, n // 4 + 2)), replace=False) for _ in range(300)]:
+        same = np.ones(n, bool)
+        same[gone] = False
+        text = b" ".join([b"before"] * 3 + [x if s else b"other" for x, s in zip(item, same, strict=True)] + [b"after"]).decode()
+        assert bool(decontam.find(text, seeds)) == any(same[s : s + w].sum() >= decontam.AGREE * w for s in range(n - w + 1)), gone
+
+
 def test_benchmark_in_blocks_gives_the_same(spark, sf):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     key = lambda df: sorted(map(tuple, df.collect()))
