@@ -22,7 +22,7 @@ LOSSLESS = {
     20: ("11101111", "1101100001011", "1100000010010111", "1111010011"),
 }
 MASKS = tuple(dict.fromkeys(m for masks in LOSSLESS.values() for m in masks))
-#: Items with fewer tokens identify nothing and are not searched for.
+#: Items with fewer tokens are found only where all of them stand in a row.
 MIN_ITEM = 8
 #: An overlap is this many aligned tokens (a shorter item: all its tokens) ...
 WINDOW = 20
@@ -72,7 +72,7 @@ def build(rows: list[tuple[int, list[bytes]]]) -> Seeds:
     starts = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
     by: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     for x, start in zip(ids, starts, strict=False):
-        for own in LOSSLESS[max(w for w in LOSSLESS if w <= len(x))]:
+        for own in LOSSLESS[max(w for w in LOSSLESS if w <= len(x))] if len(x) >= MIN_ITEM else ("1" * len(x),):
             offsets = np.flatnonzero(np.array(list(own)) == "1")
             at = np.arange(len(x) - len(own) + 1)
             by.setdefault(own, []).append((_hash(x, offsets, at), start + at))
@@ -139,7 +139,7 @@ def _search(docs: list[list[bytes]], seeds: Seeds) -> list[list[dict]]:
             continue
         same = own[lo:hi] == ids[begin[d] + lo + shift : begin[d] + hi + shift]
         sums = np.concatenate([[0], np.cumsum(same)])
-        good = np.flatnonzero(sums[w:] - sums[:-w] >= AGREE * w)
+        good = np.flatnonzero(sums[w:] - sums[:-w] >= (AGREE * w if w >= MIN_ITEM else w))
         if len(good):
             covered = np.zeros(len(same), bool)
             for g in good:
@@ -156,13 +156,16 @@ def _search(docs: list[list[bytes]], seeds: Seeds) -> list[list[dict]]:
 _FOUND = "array<struct<item_id:long,n_same:long,n_aligned:long,doc_word:long,item_word:long,item_words:long>>"
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_tokens: int) -> Iterator[Seeds]:
-    """Rows reach the driver one partition at a time; each block has block_tokens at most (a longer item makes a block)."""
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_tokens: int, unnamed: bool = False) -> Iterator[Seeds]:
+    """Rows reach the driver one partition at a time; each block has block_tokens at most (a longer item makes a block).
+
+    Rows with a null id are left out unless unnamed.
+    """
     held: list[tuple[int, list[bytes]]] = []
     size = 0
-    for item, text in benchmark.select(id_col, text_col).where(F.col(id_col).isNotNull()).orderBy(id_col, text_col).toLocalIterator():
+    for item, text in benchmark.select(id_col, text_col).where(F.lit(unnamed) | F.col(id_col).isNotNull()).orderBy(id_col, text_col).toLocalIterator():
         words = tokens(text)
-        if len(words) < MIN_ITEM:
+        if not words:
             continue
         if held and size + len(words) > block_tokens:
             yield build(held)
@@ -173,10 +176,10 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_tokens: int)
         yield build(held)
 
 
-def searchers(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> Iterable:
+def searchers(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, unnamed: bool = False) -> Iterable:
     """Functions from a text column to the overlaps with one block of the benchmark."""
     sc = benchmark.sparkSession.sparkContext
-    for seeds in blocks(benchmark, id_col, text_col, block_tokens):
+    for seeds in blocks(benchmark, id_col, text_col, block_tokens, unnamed):
         yield _searcher(sc.broadcast(seeds))
 
 
@@ -199,8 +202,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     hit of the masks for the item's length. n_aligned tokens are in such
     windows, n_same of them agree; doc_word and item_word are where they begin.
     Equal overlaps of one item: the one with most agreeing tokens, then the
-    first. Null and empty texts match nothing, items of fewer than MIN_ITEM
-    tokens and items with a null id are not sought, a null doc_id is carried,
+    first. Items of fewer than MIN_ITEM tokens must stand in the document in
+    full, unchanged. Null and empty texts match nothing, items with a null id
+    are not sought (clean() seeks them), a null doc_id is carried,
     repeated rows repeat their result, an empty table gives no rows.
     Nothing of the documents is shuffled; each block of the benchmark is
     broadcast, its tokens bounded by block_tokens.
@@ -213,9 +217,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """docs without the rows that overlap any benchmark item; a filter, no shuffle."""
+    """docs without the rows that overlap any benchmark item, with an id or without; a filter, no shuffle."""
 
     def leaks(search) -> Column:
         return F.size(search(F.col(text_col))) > 0
 
-    return reduce(lambda d, search: d.where(~leaks(search)), searchers(benchmark, block_tokens=block_tokens), docs)
+    return reduce(lambda d, search: d.where(~leaks(search)), searchers(benchmark, block_tokens=block_tokens, unnamed=True), docs)

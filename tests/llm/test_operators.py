@@ -101,6 +101,15 @@ def test_recall_is_that_of_a_search_without_masks(n):
         assert bool(decontam.find(text, seeds)) == any(same[s : s + w].sum() >= decontam.AGREE * w for s in range(n - w + 1)), gone
 
 
+def test_items_without_an_id_and_short_items(spark):
+    passage = " ".join(f"word{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"a {passage} b"), (2, "So: a SHORT item, here"), (3, "a short other item"), (4, "Short item")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), (5, "a short item"), (6, "short item"), (7, ""), (8, None)], "item_id long, text string")
+    assert [r["doc_id"] for r in rows(decontam.clean(docs, bench))] == [3]
+    got = sorted((r["doc_id"], r["item_id"], r["n_same"], r["n_aligned"], r["doc_word"]) for r in rows(decontam.overlaps(docs, bench)))
+    assert got == [(2, 5, 3, 3, 1), (2, 6, 2, 2, 2), (4, 6, 2, 2, 0)]
+
+
 def test_benchmark_in_blocks_gives_the_same(spark, sf):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     key = lambda df: sorted(map(tuple, df.collect()))
