@@ -18,7 +18,7 @@ TASK_ROWS = 65_536
 PIECES, MOST_PIECES = 4, 65_536
 #: What bytes, words and rows count for in the dot product. Bytes lead: the law is theirs.
 WEIGHTS = (16.0, 1.0, 1.0)
-#: A group is split if it has more than this part of what one task puts into one shard.
+#: A group of two rows or more is split if it has more than this part of the bytes that one task puts into one shard.
 WHOLE = 1 / 16
 
 
@@ -68,10 +68,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
         "rows",
     )
     salted = base.groupBy("group", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.sum("words").alias("words"))
-    everything = base.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
-    most_bytes, most_rows = (int(everything[c] / (shards * tasks) * WHOLE) for c in ("b", "n"))
+    most_bytes = int(base.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] / (shards * tasks) * WHOLE)
     of_group = Window.partitionBy("group")
-    large = (F.sum("bytes").over(of_group) > most_bytes) & (F.sum("n").over(of_group) > F.greatest(F.lit(1), F.lit(most_rows)))
+    large = (F.sum("bytes").over(of_group) > most_bytes) & (F.sum("n").over(of_group) > 1)
     pieces = written(salted.select("*", F.when(large, F.col("salt")).otherwise(-1).alias("piece")), "pieces")
     units = pieces.groupBy("group", "piece").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.sum("words").alias("words"))
     units = units.withColumn("task", F.pmod(F.xxhash64("group", "piece"), F.lit(tasks)))

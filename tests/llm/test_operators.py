@@ -418,6 +418,17 @@ def test_shards_are_even_with_a_hot_group(spark):
     assert max(size.values()) < 1.03 * min(size.values()) and len(of["hot text " * 20]) > 1 and sum(len(s) > 1 for s in of.values()) == 1
 
 
+def test_shards_are_even_with_few_copies_of_a_long_text(spark):
+    long = "long text " * 2000
+    docs = spark.createDataFrame([(i, long if i < 15 else f"text {i} " * 18) for i in range(12_000)], "doc_id long, text string")
+    got = rows(sharding.shard(docs))
+    check_shards(got, 12_000)
+    size = Counter()
+    for r in got:
+        size[r["shard"]] += r["size"]
+    assert max(size.values()) < 1.03 * min(size.values())
+
+
 # --- 8 ---------------------------------------------------------------------------------------------------------
 
 
