@@ -21,9 +21,10 @@ SEED = 42
 MAX_BITS = 3
 #: Six blocks; two fingerprints within three bits agree on at least three of them.
 BLOCKS = (11, 11, 11, 11, 10, 10)
-#: Free bits that a second-tier bucket leaves open: it holds 2 ** 12 different fingerprints at most.
+#: Pieces of the free bits in the second tier. A bucket leaves three open, 4 + 4 + 5 bits at most (the last piece of 33
+#: free bits has five): it holds 2 ** 13 different fingerprints at most.
 SUB_BITS, SUB_BLOCKS = 4, 8
-MAX_RUN = 1 << 12
+MAX_RUN, MAX_SUB_RUN = 1 << 12, 1 << 13
 _AT_ONCE = 1 << 16
 
 
@@ -89,7 +90,8 @@ def _runs(tables: Iterator[pa.RecordBatch], tier: int) -> Iterator[pa.RecordBatc
     """Links within each run of equal (t, key) of sorted rows.
 
     A run beyond MAX_RUN is passed on, row by row, with over = its t: the
-    second tier splits it. Memory: one batch and one run of MAX_RUN rows.
+    second tier splits it, and links every run whole. Memory: one batch and one
+    run of MAX_RUN rows, in the second tier of MAX_SUB_RUN.
     """
     held = {"t": np.empty(0, np.int64), "key": np.empty(0, np.int64), "fp": np.empty(0, np.uint64)}
     overflowing: tuple[int, int] | None = None
@@ -122,15 +124,15 @@ def _runs(tables: Iterator[pa.RecordBatch], tier: int) -> Iterator[pa.RecordBatc
         for i in np.flatnonzero(size > 1):
             s, e = starts[i], ends[i]
             name = (int(d["t"][s]), int(d["key"][s]))
-            if e - s > MAX_RUN or name == overflowing:
+            if tier == 1 and (e - s > MAX_RUN or name == overflowing):
                 over.append((name[0], d["fp"][s:e]))
             else:
                 pairs.extend(_forest(d["fp"][s:e]))
         if overflowing and len(starts) and size[0] == 1 and (int(d["t"][0]), int(d["key"][0])) == overflowing:
             over.append((overflowing[0], d["fp"][:1]))
-        if len(held["t"]) > MAX_RUN:
+        if len(held["t"]) > (MAX_RUN if tier == 1 else MAX_SUB_RUN):
             if tier == 2:
-                raise AssertionError("a second-tier bucket holds more than 2 ** 12 different fingerprints")
+                raise AssertionError("a second-tier bucket holds more than 2 ** 13 different fingerprints")
             overflowing = (int(held["t"][0]), int(held["key"][0]))
             over.append((overflowing[0], held["fp"]))
             held = {k: v[:0] for k, v in held.items()}
@@ -173,7 +175,7 @@ def links(fps: DataFrame) -> DataFrame:
     Fingerprints that share three of six blocks meet in one bucket; there the
     Hamming distance is taken and a spanning forest of the links kept, not all
     pairs. Buckets over MAX_RUN fingerprints are split again by five of eight
-    four-bit pieces of the other bits, which leaves 2 ** 12 different
+    pieces of four bits or so of the other bits, which leaves 2 ** 13 different
     fingerprints a bucket at most.
     """
     keys = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(_block_masks())]))

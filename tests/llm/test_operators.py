@@ -298,6 +298,19 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch):
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
 
 
+@pytest.mark.parametrize("batches", [1, 3])
+def test_second_tier_links_runs_of_all_its_open_bits(batches):
+    import pyarrow as pa
+
+    mask = max((m for t in simhash._block_masks() for m in simhash._sub_masks(t)), key=lambda m: 64 - m.bit_count())
+    free = [b for b in range(64) if not mask >> b & 1]
+    assert 1 << len(free) == simhash.MAX_SUB_RUN
+    fps = np.array([sum(1 << b for i, b in enumerate(free) if n >> i & 1) for n in range(5000)], np.uint64).view(np.int64)
+    made = [pa.RecordBatch.from_arrays([pa.array(np.zeros(len(f), np.int64)), pa.array(np.zeros(len(f), np.int64)), pa.array(f)], ["t", "key", "fp"]) for f in np.array_split(fps, batches)]
+    got = [r for b in simhash._runs(iter(made), 2) for r in b.to_pylist()]
+    assert all(r["over"] < 0 and r["a"] != r["b"] for r in got) and len(got) == 4999 and {r["b"] for r in got} | {int(fps[0])} == set(fps.tolist())
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(5, 5), (None, 3), (500, 400), (400, 500)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.connected_components(edges).collect()}
