@@ -175,6 +175,14 @@ def test_all_visible_text_of_pages(spark, sf):
         assert letters(got[i]) == letters("".join(naive.out))
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<div class="a"">Hello <a href="x">there</a></div>', "Hello there"), ("<p title=it's>text</p> it's", "text\n\nit's"), ('a <img alt=5"> text "b"', 'a text "b"'),
+    ('<p a"hidden>x "y"', 'x "y"'), ('<p x = "a>b">c', "c"), ("<p hidden = ''>no</p>yes", "yes"), ('<p ="a>b"', 'b"'), ('<a href=x="y>z">t', 'z">t'), ('<a href=http://u/v/>w</a>', "w"),
+])
+def test_quotes_open_values_only_after_an_equals_sign(page, text):
+    assert html_render.render(page) == text
+
+
 def test_odd_pages(spark):
     odd = spark.createDataFrame([(1, None, "k"), (None, "<p>x", "k"), (2, "", "k"), (2, "", "k"), (3, "<div>" * 5000 + "deep", "k"), (4, "<a b='", "k"), (5, "<table><td>x", "k")], "page_id long, html string, text string")
     assert sorted((r["page_id"] or 0, r["text"]) for r in html_render.extract(odd).collect()) == [(0, "x"), (1, ""), (2, ""), (2, ""), (3, "deep"), (4, ""), (5, "x")]
