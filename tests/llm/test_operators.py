@@ -439,6 +439,39 @@ def test_shards_are_even_with_a_hot_group(spark):
     assert max(size.values()) < 1.03 * min(size.values()) and len(of["hot text " * 20]) > 1 and sum(len(s) > 1 for s in of.values()) == 1
 
 
+def test_pack_is_a_plain_argmax():
+    rng = np.random.default_rng(5)
+    items, lacks = rng.dirichlet(np.ones(300), 3).T, rng.dirichlet(np.ones(7), 3).T
+    left, turn = [list(x) for x in lacks], 3
+    want = []
+    for item in items:
+        best, at = None, None
+        for k in range(7):
+            s = (k + turn) % 7
+            value = sum(w * i * r for w, i, r in zip(sharding.WEIGHTS, item, left[s], strict=True))
+            if best is None or value > best + 1e-15:
+                best, at = value, s
+        want.append(at)
+        left[at] = [r - i for r, i in zip(left[at], item, strict=True)]
+    assert sharding.pack(items, lacks, turn).tolist() == want
+
+
+@pytest.mark.parametrize("task_rows", [65_536, 100])
+def test_groups_stay_whole_and_shards_even(spark, task_rows):
+    """Held against plain counts of sf0.01, 25 documents a shard: every group in one shard (none is as large as a shard), shards within 2% of the mean."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text, got = {r["doc_id"]: r["text"] for r in docs.collect()}, rows(sharding.shard(docs, task_rows=task_rows))
+    check_shards(got, len(text))
+    size, of, group = Counter(), defaultdict(set), Counter()
+    for r in got:
+        size[r["shard"]] += r["size"]
+        of[text[r["doc_id"]]].add(r["shard"])
+        group[text[r["doc_id"]]] += r["size"]
+    mean = sum(size.values()) / sharding.SHARDS
+    assert max(group.values()) <= mean and {len(x) for x in of.values()} == {1}
+    assert max(abs(b - mean) for b in size.values()) <= (0.02 if task_rows > 1000 else 0.05) * mean
+
+
 def test_shards_are_even_with_few_copies_of_a_long_text(spark):
     long = "long text " * 2000
     docs = spark.createDataFrame([(i, long if i < 15 else f"text {i} " * 18) for i in range(12_000)], "doc_id long, text string")
