@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ledgerspark.llm.common import written
 
 #: By least window: masks (1: the token at this offset must agree; 0: any token may stand there) of which one at least
 #: lies on agreeing tokens alone in every window of that many tokens or more, up to the next entry, that passes AGREE.
@@ -21,21 +25,24 @@ LOSSLESS = {
     15: ("1111011", "11001000111", "11010100011"),
     20: ("11101111", "1101100001011", "1100000010010111", "1111010011"),
 }
-MASKS = tuple(dict.fromkeys(m for masks in LOSSLESS.values() for m in masks))
 #: Items with fewer tokens are found only where all of them stand in a row.
 MIN_ITEM = 8
 #: An overlap is this many aligned tokens (a shorter item: all its tokens) ...
 WINDOW = 20
 #: ... of which at least this share agree.
 AGREE = 0.8
-#: Benchmark tokens that are broadcast at once; a larger benchmark is searched for in blocks.
-BLOCK_TOKENS = 2_000_000
+#: The filter of test hashes: bits for each of them, probes, and the most bits in all (128 MB). Beyond that it lets more through, never less.
+BITS_PER_SEED, PROBES, MOST_BITS = 32, 6, 1 << 30
+#: Rows of the test side up to which it is broadcast to the join; a larger one is joined by a shuffle, in SALTS copies so that no hash is hot.
+MAX_BROADCAST, SALTS = 1_000_000, 8
+#: Tokens of items up to which these are broadcast.
+MAX_ITEM_TOKENS = 2_000_000
 
 #: Punctuation outside ASCII that parts words, as ASCII punctuation does.
 _WIDE = re.compile("[\u00a0-\u00bf\u2000-\u206f\u3000-\u303f]")
 _TO_SPACE = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
-_TABLE_BITS, _AT_ONCE = 20, 1 << 17
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
+_AT_ONCE, _REMEMBERED = 1 << 17, 1 << 20
+_PRIME, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -46,180 +53,314 @@ def tokens(text: str | None) -> list[bytes]:
     return t.encode().translate(_TO_SPACE).split()
 
 
-@dataclass
-class Seeds:
-    """The searchable form of one block of benchmark items."""
+class _Names(dict):
+    """Token -> its 64-bit hash, never 0; a bounded memory."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _REMEMBERED:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word) or 1
+        return h
+
+
+_names = _Names()
+
+
+def token_hashes(text: str | None) -> np.ndarray:
+    words = tokens(text)
+    return np.fromiter(map(_names.__getitem__, words), np.uint64, len(words))
 
-    vocab: dict[bytes, int]
-    ids: np.ndarray  # token ids of all items, one after another
-    starts: np.ndarray  # of each item in ids; one more at the end
-    items: list[int]
-    masks: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # offsets, sorted hashes, their places in ids, filter
 
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks for an item of n tokens."""
+    return LOSSLESS[max(w for w in LOSSLESS if w <= n)] if n >= MIN_ITEM else ("1" * n,)
 
-def _hash(ids: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of each start in at: the hash of the selected tokens."""
-    h = np.zeros(len(at), np.uint64)
-    for o in offsets:
-        h = (h ^ ids[at + o].astype(np.uint64)) * _PRIME
-        h ^= h >> np.uint64(29)
+
+def _offsets(mask: str) -> list[int]:
+    return [i for i, c in enumerate(mask) if c == "1"]
+
+
+def seeds_at(x: np.ndarray, mask: str, at: np.ndarray | None = None) -> np.ndarray:
+    """Of each start (of all, or of those in at): the hash of the selected tokens and of the mask itself."""
+    n = len(x) - len(mask) + 1
+    h = np.full(max(n, 0) if at is None else len(at), np.uint64(xxhash.xxh64_intdigest(mask)), np.uint64)
+    if len(h):
+        for o in _offsets(mask):
+            h = (h ^ (x[o : o + n] if at is None else x[at + o])) * _PRIME
+            h ^= h >> np.uint64(29)
     return h
 
 
-def build(rows: list[tuple[int, list[bytes]]]) -> Seeds:
-    vocab: dict[bytes, int] = {}
-    ids = [np.array([vocab.setdefault(w, len(vocab) + 1) for w in words], np.int64) for _, words in rows]
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
-    by: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for x, start in zip(ids, starts, strict=False):
-        for own in LOSSLESS[max(w for w in LOSSLESS if w <= len(x))] if len(x) >= MIN_ITEM else ("1" * len(x),):
-            offsets = np.flatnonzero(np.array(list(own)) == "1")
-            at = np.arange(len(x) - len(own) + 1)
-            by.setdefault(own, []).append((_hash(x, offsets, at), start + at))
-    masks = []
-    for own, found in by.items():
-        h, at = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-        order = np.argsort(h, kind="stable")
-        member = np.zeros(1 << _TABLE_BITS, bool)
-        member[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
-        masks.append((np.flatnonzero(np.array(list(own)) == "1"), h[order], at[order], member))
-    return Seeds(vocab, np.concatenate(ids) if ids else np.empty(0, np.int64), starts, [i for i, _ in rows], masks)
-
-
-def find_all(texts: list[str | None], seeds: Seeds) -> list[list[dict]]:
-    """find() of each text; texts are put together until they have _AT_ONCE tokens."""
-    out: list[list[dict]] = []
-    held: list[list[bytes]] = []
-    size = 0
-    for t in texts:
-        held.append(tokens(t))
-        size += len(held[-1])
-        if size >= _AT_ONCE:
-            out += _search(held, seeds)
-            held, size = [], 0
-    return out + _search(held, seeds)
-
-
-def find(text: str | None, seeds: Seeds) -> list[dict]:
-    """The best verified overlap with each item: at most one row per item."""
-    return find_all([text], seeds)[0]
-
-
-def _search(docs: list[list[bytes]], seeds: Seeds) -> list[list[dict]]:
-    get, gap = seeds.vocab.get, [0] * max(map(len, MASKS))  # unknown tokens between documents: no hit spans two
-    flat: list[int] = []
-    begin = []
-    for words in docs:
-        begin.append(len(flat))
-        flat.extend([get(w, 0) for w in words])
-        flat.extend(gap)
-    ids, begins = np.array(flat, np.int64), np.array(begin, np.int64)
-    known = ids > 0
-    lines: set[tuple[int, int, int]] = set()
-    for offsets, hashes, places, member in seeds.masks:
-        n = len(ids) - int(offsets[-1])
-        if n <= 0:
-            continue
-        at = np.flatnonzero(np.logical_and.reduce([known[o : o + n] for o in offsets]))
-        h = _hash(ids, offsets, at)
-        maybe = member[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)]
-        at, h = at[maybe], h[maybe]
-        low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-        doc = np.searchsorted(begins, at, "right") - 1
-        for d, p, lo, hi in zip(*(x[high > low] for x in (doc, at, low, high)), strict=True):
-            item = np.searchsorted(seeds.starts, places[lo:hi], "right") - 1
-            shift = p - begins[d] - (places[lo:hi] - seeds.starts[item])
-            lines.update((int(d), i, s) for i, s in zip(item.tolist(), shift.tolist(), strict=True))
-    best: dict[tuple[int, int], tuple] = {}
-    for d, item, shift in lines:  # the item's first token would stand at token shift of the document
-        own, n = seeds.ids[seeds.starts[item] : seeds.starts[item + 1]], len(docs[d])
-        lo, hi = max(0, -shift), min(len(own), n - shift)
-        w = min(WINDOW, len(own))
-        if hi - lo < w:
-            continue
-        same = own[lo:hi] == ids[begin[d] + lo + shift : begin[d] + hi + shift]
-        sums = np.concatenate([[0], np.cumsum(same)])
-        good = np.flatnonzero(sums[w:] - sums[:-w] >= (AGREE * w if w >= MIN_ITEM else w))
-        if len(good):
-            covered = np.zeros(len(same), bool)
-            for g in good:
-                covered[g : g + w] = True
-            span = np.flatnonzero(covered)
-            row = (int((same & covered).sum()), -(lo + shift + int(span[0])), int(covered.sum()), lo + int(span[0]), len(own))
-            best[d, item] = max(best.get((d, item), row), row)
-    out: list[list[dict]] = [[] for _ in docs]
-    for (d, i), r in sorted(best.items()):
-        out[d].append({"item_id": seeds.items[i], "n_same": r[0], "n_aligned": r[2], "doc_word": -r[1], "item_word": r[3], "item_words": r[4]})
-    return out
-
-
-_FOUND = "array<struct<item_id:long,n_same:long,n_aligned:long,doc_word:long,item_word:long,item_words:long>>"
-
-
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_tokens: int, unnamed: bool = False) -> Iterator[Seeds]:
-    """Rows reach the driver one partition at a time; each block has block_tokens at most (a longer item makes a block).
-
-    Rows with a null id are left out unless unnamed.
-    """
-    held: list[tuple[int, list[bytes]]] = []
-    size = 0
-    for item, text in benchmark.select(id_col, text_col).where(F.lit(unnamed) | F.col(id_col).isNotNull()).orderBy(id_col, text_col).toLocalIterator():
-        words = tokens(text)
-        if not words:
-            continue
-        if held and size + len(words) > block_tokens:
-            yield build(held)
-            held, size = [], 0
-        held.append((item, words))
-        size += len(words)
-    if held:
-        yield build(held)
-
-
-def searchers(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, unnamed: bool = False) -> Iterable:
-    """Functions from a text column to the overlaps with one block of the benchmark."""
-    sc = benchmark.sparkSession.sparkContext
-    for seeds in blocks(benchmark, id_col, text_col, block_tokens, unnamed):
-        yield _searcher(sc.broadcast(seeds))
-
-
-def _searcher(sent):
-    @F.pandas_udf(_FOUND)
-    def search(texts: pd.Series) -> pd.Series:
-        return pd.Series(find_all(texts.tolist(), sent.value))
-
-    return search
-
-
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row per row of docs and benchmark item with a verified overlap.
-
-    Tokens are those of tokens(). A training token
-    position and an item position are a hit if they agree at all selected
-    positions of one mask; around each hit the item is laid along the document,
-    and an overlap holds if WINDOW aligned tokens (all of a shorter item) agree
-    in AGREE of them, whatever the substitutions: no such window is without a
-    hit of the masks for the item's length. n_aligned tokens are in such
-    windows, n_same of them agree; doc_word and item_word are where they begin.
-    Equal overlaps of one item: the one with most agreeing tokens, then the
-    first. Items of fewer than MIN_ITEM tokens must stand in the document in
-    full, unchanged. Null and empty texts match nothing, items with a null id
-    are not sought (clean() seeks them), a null doc_id is carried,
-    repeated rows repeat their result, an empty table gives no rows.
-    Nothing of the documents is shuffled; each block of the benchmark is
-    broadcast, its tokens bounded by block_tokens.
+def item_seeds(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of an item's tokens, by all its masks."""
+    if not len(x):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    made = [seeds_at(x, m) for m in masks_of(len(x))]
+    return np.concatenate(made), np.concatenate([np.arange(len(h)) for h in made])
+
+
+def _slots(h: np.ndarray, bits: int, probe: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((h + np.uint64(probe) * (h * _STEP | np.uint64(1))) * _PRIME >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+
+
+def fill(bitmap: np.ndarray, h: np.ndarray) -> None:
+    """Enters hashes in a bitmap of a power of two of bits."""
+    for k in range(PROBES):
+        at = _slots(h, len(bitmap) * 8, k)
+        np.bitwise_or.at(bitmap, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+
+
+def entered(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places in h of hashes that the bitmap may hold; all that it holds are among them."""
+    left = np.arange(len(h))
+    for k in range(PROBES):
+        at = _slots(h[left], len(bitmap) * 8, k)
+        left = left[bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1]
+    return left
+
+
+def regions(docs: list[np.ndarray], masks: list[str], bitmap: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(document, first token, tokens, hashes, their places in the document) around hits.
+
+    A region reaches WINDOW tokens to either side of its hits, so every window
+    with a hit lies in one region; regions of a document do not touch.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_ls_text"))
-    parts = [slim.select("doc_id", F.explode(search("_ls_text")).alias("f")).select("doc_id", "f.*") for search in searchers(benchmark, block_tokens=block_tokens)]
-    if not parts:
-        return slim.where("false").select("doc_id", *[F.lit(None).cast("long").alias(c) for c in ("item_id", "n_same", "n_aligned", "doc_word", "item_word", "item_words")])
-    return reduce(DataFrame.unionByName, parts)
+    gap = np.zeros(max(map(len, masks), default=1), np.uint64)  # no token between documents: no hit spans two
+    begins = np.cumsum([0] + [len(d) + len(gap) for d in docs])
+    flat = np.concatenate([x for d in docs for x in (d, gap)]) if docs else gap
+    found_h, found_at, spans = [], [], []
+    for mask in masks:
+        h = seeds_at(flat, mask)
+        at = entered(bitmap, h)
+        at = at[np.logical_and.reduce([flat[at + o] > 0 for o in (0, len(mask) - 1)])] if len(at) else at
+        found_h.append(h[at])
+        found_at.append(at)
+        spans.append(np.full(len(at), len(mask)))
+    h, at, span = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (found_h, found_at, spans))
+    if not len(at):
+        return
+    order = np.argsort(at, kind="stable")
+    h, at, span = h[order], at[order], span[order]
+    of = np.searchsorted(begins, at, "right") - 1
+    low = np.maximum(at + span - WINDOW, begins[of])
+    high = np.minimum(at + np.maximum(span, WINDOW), begins[of + 1] - len(gap))
+    # low is not in order where masks differ in length, but its running minimum from the right is what begins a region
+    reach = np.maximum.accumulate(high)
+    least = np.minimum.accumulate(low[::-1])[::-1]
+    cut = np.flatnonzero((least[1:] > reach[:-1]) | (of[1:] != of[:-1])) + 1
+    for s, e in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]]), strict=True):
+        d, lo, hi = int(of[s]), int(low[s:e].min()), int(high[s:e].max())
+        yield d, lo - int(begins[d]), flat[lo:hi], h[s:e], at[s:e] - begins[d]
+
+
+def verified(region: np.ndarray, first: int, item: np.ndarray, shift: int) -> tuple[int, int, int, int] | None:
+    """n_same, n_aligned, doc_word and item_word where the item, its first token at token `shift` of the document, passes AGREE in this region."""
+    w = min(WINDOW, len(item))
+    lo, hi = max(0, first - shift), min(len(item), first + len(region) - shift)
+    if hi - lo < w:
+        return None
+    same = item[lo:hi] == region[lo + shift - first : hi + shift - first]
+    sums = np.concatenate([[0], np.cumsum(same)])
+    good = sums[w:] - sums[:-w] >= (AGREE * w if w >= MIN_ITEM else w)
+    if not good.any():
+        return None
+    step = np.zeros(len(same) + 1, np.int64)
+    step[:-w] += good
+    step[w:] -= good
+    covered = np.cumsum(step[:-1]) > 0
+    at = lo + int(np.argmax(covered))
+    return int((same & covered).sum()), int(covered.sum()), at + shift, at
+
+
+class Searcher:
+    """The same search for one text at a time, for use without a session: items (name, text) -> overlaps of a text."""
+
+    def __init__(self, items: list[tuple[object, str | None]]):
+        self.items = [(name, token_hashes(text)) for name, text in items]
+        self.places: dict[int, list[tuple[int, int]]] = {}
+        for i, (_, x) in enumerate(self.items):
+            for h, q in zip(*(a.tolist() for a in item_seeds(x)), strict=True):
+                self.places.setdefault(h, []).append((i, q))
+        self.masks = sorted({m for _, x in self.items if len(x) for m in masks_of(len(x))})
+        self.bitmap = np.zeros(1 << 17, np.uint8)
+        fill(self.bitmap, np.fromiter(self.places, np.uint64, len(self.places)))
+
+    def find(self, text: str | None) -> dict[object, tuple[int, int, int, int]]:
+        """Item -> (n_same, n_aligned, doc_word, item_word) of its best overlap."""
+        sums: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+        for _, first, region, hashes, at in regions([token_hashes(text)], self.masks, self.bitmap):
+            tried = {(i, int(p) - q) for h, p in zip(hashes.tolist(), at, strict=True) for i, q in self.places.get(h, ())}
+            for i, shift in tried:
+                if got := verified(region, first, self.items[i][1], shift):
+                    old = sums.get((i, shift), (0, 0, got[2], got[3]))
+                    sums[i, shift] = (old[0] + got[0], old[1] + got[1], min(old[2], got[2]), min(old[3], got[3]))
+        best: dict[object, tuple[int, int, int, int]] = {}
+        for (i, _), (same, aligned, doc, own) in sums.items():
+            name = self.items[i][0]
+            best[name] = max(best.get(name, (0, 0, 0, 0)), (same, aligned, doc, own), key=lambda r: (r[0], -r[2], r[1], r[3]))
+        return best
+
+
+def _number(batch_rows: int, counter: list[int]) -> np.ndarray:
+    """Numbers that no other row of this write has: the task's partition, then a count."""
+    at = (TaskContext.get().partitionId() << 36) + counter[0]
+    counter[0] += batch_rows
+    return np.arange(at, at + batch_rows)
+
+
+def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = [token_hashes(t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(v) for v in x], pa.int32()), pa.array([v.tobytes() for v in x], pa.binary())], ["item_id", "n", "tokens"])
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counter = [0]
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_number(len(batch), counter)), batch.column(0), batch.column(1)], ["item", "n", "tokens"])
+
+
+def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for key, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            h, at = item_seeds(np.frombuffer(raw, np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), key)), pa.array(at.astype(np.int32))], ["h", "item", "q"])
+
+
+def _bitmap(bits: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            fill(made, batch.column(0).to_numpy().view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array([made.tobytes()], pa.binary())], ["bitmap"])
+
+    return run
+
+
+class Index:
+    """The searchable form of a benchmark, in tables of the shared folder: rows (item_id, item), distinct items with their tokens, and their seeds (h, item, q)."""
+
+    def __init__(self, benchmark: DataFrame, id_col: str, text_col: str, max_broadcast: int = MAX_BROADCAST, max_item_tokens: int = MAX_ITEM_TOKENS):
+        spark = benchmark.sparkSession
+        schema = T.StructType([T.StructField("item_id", benchmark.schema[id_col].dataType), T.StructField("n", T.IntegerType()), T.StructField("tokens", T.BinaryType())])
+        rows = written(benchmark.select(id_col, text_col).mapInArrow(_item_rows, schema).where("n > 0"), "bench_rows")
+        self.items = written(rows.select("n", "tokens").dropDuplicates(["tokens"]).mapInArrow(_numbered, "item long, n int, tokens binary"), "bench_items")
+        self.rows = rows.select("item_id", "tokens").join(self.items, "tokens").select("item", "item_id", F.col("n").cast("long").alias("item_words"))
+        self.seeds = written(self.items.mapInArrow(_seed_rows, "h long, item long, q int"), "bench_seeds")
+        n_seeds = self.seeds.count()
+        lengths = [r["n"] for r in self.items.select(F.least("n", F.lit(WINDOW)).alias("n")).distinct().collect()]
+        n_tokens = self.items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        self.masks = sorted({m for n in lengths for m in masks_of(n)})
+        self.small_seeds, self.small_items = n_seeds <= max_broadcast, n_tokens <= max_item_tokens
+        bits = min(MOST_BITS, max(1 << 13, 1 << (BITS_PER_SEED * n_seeds).bit_length()))
+        parts = self.seeds.select("h").coalesce(1).mapInArrow(_bitmap(bits), "bitmap binary").collect() if n_seeds else []
+        self.bitmap = spark.sparkContext.broadcast(np.frombuffer(bytes(parts[0]["bitmap"]), np.uint8)) if parts else None
+
+
+def _doc_regions(index: Index):
+    masks, sent = index.masks, index.bitmap
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = [0]
+        for batch in batches:
+            rows = _number(len(batch), counter)
+            at, column = 0, batch.column(1)
+            while at < len(batch):
+                held, size, first = [], 0, at
+                while at < len(batch) and size < _AT_ONCE:
+                    held.append(token_hashes(column[at].as_py()))
+                    size += len(held[-1])
+                    at += 1
+                found = list(regions(held, masks, sent.value))
+                if not found:
+                    continue
+                of = np.array([first + f[0] for f in found])
+                own = [pa.array(rows[of]), batch.column(0).take(pa.array(of)), batch.column(2).take(pa.array(of)), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2].tobytes() for f in found], pa.binary())]
+                ends = np.cumsum([0] + [len(f[3]) for f in found]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([f[k] for f in found]).astype(np.int64 if k == 4 else np.uint64).view(np.int64))) for k in (3, 4)]
+                yield pa.RecordBatch.from_arrays([*own, *lists], ["row", "doc_id", "digest", "first", "tokens", "h", "p"])
+
+    return run
+
+
+_VERIFIED = T.StructType([T.StructField(n, T.LongType()) for n in ("n_same", "n_aligned", "doc_word", "item_word")])
+
+
+@F.pandas_udf(_VERIFIED)
+def _verify(region: pd.Series, first: pd.Series, item: pd.Series, shift: pd.Series) -> pd.DataFrame:
+    each = zip(region, first.tolist(), item, shift.tolist(), strict=True)
+    made = [verified(np.frombuffer(r, np.uint64), f, np.frombuffer(i, np.uint64), s) or (None,) * 4 for r, f, i, s in each]
+    return pd.DataFrame(made, columns=_VERIFIED.names).astype("Int64")
+
+
+def _met(left: DataFrame, right: DataFrame, key: str, small: bool, salt: str) -> DataFrame:
+    """left joined to right by key: by a broadcast of a right side whose size was checked, else by a shuffle in which each key of left is dealt over SALTS tasks."""
+    if small:
+        return left.join(F.broadcast(right), key)
+    copies = right.withColumn("_ls_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("_ls_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(copies.hint("merge"), [key, "_ls_salt"]).drop("_ls_salt")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """docs without the rows that overlap any benchmark item, with an id or without; a filter, no shuffle."""
+def alignments(docs: DataFrame, index: Index, id_col: str, text_col: str) -> DataFrame:
+    """row, doc_id, digest (of the text), item and the best verified overlap: one row per row of docs and distinct item with one.
+
+    Documents are scanned once: where the filter lets a hash through, the
+    tokens around it and the hash are written. Training hashes then meet test
+    hashes in an equality join, the alignments found are made distinct, and
+    each is verified on the tokens of its region and its item.
+    """
+    kind = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", kind), *T._parse_datatype_string("digest binary, first int, tokens binary, h array<long>, p array<long>").fields])
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.unhex(F.md5(F.col(text_col))).alias("digest"))
+    found = written(slim.mapInArrow(_doc_regions(index), schema).withColumn("region", F.monotonically_increasing_id()), "regions")
+    hits = found.select("region", F.explode(F.arrays_zip("h", "p")).alias("s")).select("region", F.col("s.h").alias("h"), F.col("s.p").alias("p"))
+    laid = _met(hits, index.seeds, "h", index.small_seeds, "region").select("region", "item", (F.col("p") - F.col("q")).alias("shift")).distinct()
+    texts = _met(laid.join(found.select("region", "row", "doc_id", "digest", "first", "tokens"), "region"), index.items.select("item", F.col("tokens").alias("own")), "item", index.small_items, "region")
+    tried = texts.select("row", "doc_id", "digest", "item", "shift", _verify("tokens", F.col("first").cast("long"), "own", "shift").alias("v")).where("v.n_same is not null")
+    # an overlap may go on in another region of the row
+    whole = tried.groupBy("row", "item", "shift").agg(F.first("doc_id").alias("doc_id"), F.first("digest").alias("digest"), F.sum("v.n_same").alias("n_same"), F.sum("v.n_aligned").alias("n_aligned"), F.min("v.doc_word").alias("doc_word"), F.min("v.item_word").alias("item_word"))
+    best = F.max_by(F.struct("n_same", "n_aligned", "doc_word", "item_word"), F.struct("n_same", (-F.col("doc_word")).alias("d"), "n_aligned", "item_word"))
+    return whole.groupBy("row", "item").agg(F.first("doc_id").alias("doc_id"), F.first("digest").alias("digest"), best.alias("b"))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", **index_options) -> DataFrame:
+    """One row per row of docs and row of benchmark with a verified overlap.
+
+    Tokens are those of tokens(). A training position and a test position are a
+    hit if they agree at all selected positions of one mask; there the item is
+    laid along the document, and an overlap holds if WINDOW aligned tokens (all
+    of a shorter item) agree in AGREE of them, whatever the substitutions: no
+    such window is without a hit of the masks for the item's length. n_aligned
+    tokens are in such windows, n_same of them agree; doc_word and item_word are
+    where they begin. Equal overlaps of one item: the one with most agreeing
+    tokens, then the first. Items of fewer than MIN_ITEM tokens must stand in
+    the document in full, unchanged. Null and empty texts match nothing, items
+    with a null id are not sought (clean() seeks them), a null doc_id is
+    carried, repeated rows of either table repeat their result (an item_id with
+    several texts has a row for each that is found), an empty table gives no
+    rows; other columns are not read.
+
+    Documents are scanned once whatever the size of the benchmark. What reaches
+    the driver and every task is the filter, MOST_BITS at most; equal passages
+    are met in joins that no hot hash or item can skew.
+    """
+    index = Index(benchmark.where(F.col(item_col).isNotNull()), item_col, text_col, **index_options)
+    if index.bitmap is None:
+        nothing = [F.lit(None).cast("long").alias(c) for c in ("item_id", "n_same", "n_aligned", "doc_word", "item_word", "item_words")]
+        return docs.select(F.col(id_col).alias("doc_id"), *nothing).where("false")
+    return _met(alignments(docs, index, id_col, text_col), index.rows, "item", index.small_items, "row").select("doc_id", "item_id", "b.*", "item_words")
+
 
-    def leaks(search) -> Column:
-        return F.size(search(F.col(text_col))) > 0
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **index_options) -> DataFrame:
+    """docs without the rows that overlap any item of benchmark, by the rule of overlaps(), with an id or without.
 
-    return reduce(lambda d, search: d.where(~leaks(search)), searchers(benchmark, block_tokens=block_tokens, unnamed=True), docs)
+    A row goes or stays by its text alone, so equal rows share their fate, and
+    rows with a null or empty text stay; null ids, ties and columns of any name
+    pass through. Texts that go are named by their digests in an anti join.
+    """
+    index = Index(benchmark.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), "id", "text", **index_options)
+    if index.bitmap is None:
+        return docs
+    bad = alignments(docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), index, "id", "text").select(F.col("digest").alias("_ls_digest")).distinct()
+    return docs.join(bad, F.unhex(F.md5(F.col(text_col))) == F.col("_ls_digest"), "left_anti")

@@ -33,21 +33,14 @@ def both(texts):
 
 
 def brute_overlaps(text, items):
-    """Every alignment of every item that one mask hits, window by window."""
+    """Every alignment of every item, window by window, without masks."""
     doc, found = decontam.tokens(text), set()
     for item, own in items.items():
-        if len(own) < decontam.MIN_ITEM:
-            continue
+        w = min(decontam.WINDOW, len(own))
+        least = decontam.AGREE * w if len(own) >= decontam.MIN_ITEM else w
         for shift in range(-len(own) + 1, len(doc)):
-            hit = False
-            for mask in decontam.MASKS:
-                m = mask[: len(own)]
-                for p in range(len(own) - len(m) + 1):
-                    if 0 <= p + shift and p + shift + len(m.rstrip("0")) <= len(doc) and all(own[p + o] == doc[p + shift + o] for o, c in enumerate(m) if c == "1"):
-                        hit = True
-            w = min(decontam.WINDOW, len(own))
             same = [own[p] == doc[p + shift] for p in range(len(own)) if 0 <= p + shift < len(doc)]
-            if hit and any(sum(same[s : s + w]) >= decontam.AGREE * w for s in range(len(same) - w + 1)):
+            if any(sum(same[s : s + w]) >= least for s in range(len(same) - w + 1)):
                 found.add(item)
     return found
 
@@ -56,14 +49,14 @@ def test_decontamination_matches_brute_force():
     rng = np.random.default_rng(1)
     vocab = [f"t{i}" for i in range(12)]
     items = {i: [str(x).encode() for x in rng.choice(vocab, n)] for i, n in enumerate([5, 8, 9, 12, 14, 20, 30, 40])}
-    seeds = decontam.build([(i, x) for i, x in items.items() if len(x) >= decontam.MIN_ITEM])
+    searcher = decontam.Searcher([(i, b" ".join(x).decode()) for i, x in items.items()])
     for trial in range(60):
         doc = [str(x).encode() for x in rng.choice(vocab, int(rng.integers(0, 40)))]
         own = list(items[trial % 8])
         for at in rng.choice(len(own), len(own) // 8, replace=False):
             own[at] = b"other"
         text = b" ".join(doc[:7] + own[: int(rng.integers(1, 41))] + doc[7:]).decode()
-        assert {r["item_id"] for r in decontam.find(text, seeds)} == brute_overlaps(text, items)
+        assert set(searcher.find(text)) == brute_overlaps(text, items)
 
 
 def test_decontamination_finds_substituted_copies_and_leaves_the_rest(spark, awkward):
@@ -92,13 +85,13 @@ def test_masks_hit_every_window_that_agrees_enough():
 def test_recall_is_that_of_a_search_without_masks(n):
     rng = np.random.default_rng(n)
     item = [f"w{i}".encode() for i in range(n)]
-    seeds, w = decontam.build([(1, item)]), min(n, decontam.WINDOW)
+    searcher, w = decontam.Searcher([(1, b" ".join(item).decode())]), min(n, decontam.WINDOW)
     every_fifth = [[i for i in range(n) if i % 5 == r] for r in range(5)]
     for gone in every_fifth + [rng.choice(n, int(rng.integers(0, n // 4 + 2)), replace=False) for _ in range(300)]:
         same = np.ones(n, bool)
         same[gone] = False
         text = b" ".join([b"before"] * 3 + [x if s else b"other" for x, s in zip(item, same, strict=True)] + [b"after"]).decode()
-        assert bool(decontam.find(text, seeds)) == any(same[s : s + w].sum() >= decontam.AGREE * w for s in range(n - w + 1)), gone
+        assert bool(searcher.find(text)) == any(same[s : s + w].sum() >= decontam.AGREE * w for s in range(n - w + 1)), gone
 
 
 def test_items_without_an_id_and_short_items(spark):
@@ -110,10 +103,34 @@ def test_items_without_an_id_and_short_items(spark):
     assert got == [(2, 5, 3, 3, 1), (2, 6, 2, 2, 2), (4, 6, 2, 2, 0)]
 
 
-def test_benchmark_in_blocks_gives_the_same(spark, sf):
+def test_joins_by_shuffle_and_one_text_at_a_time_give_the_same(spark, sf):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     key = lambda df: sorted(map(tuple, df.collect()))
-    assert key(decontam.overlaps(docs, bench, block_tokens=300)) == key(decontam.overlaps(docs, bench)) != []
+    want = key(decontam.overlaps(docs, bench))
+    assert key(decontam.overlaps(docs, bench, max_broadcast=0, max_item_tokens=0)) == want != []
+    items = [tuple(r) for r in bench.select("item_id", "text").collect()]
+    searcher, n = decontam.Searcher(items), {i: len(decontam.tokens(x)) for i, x in items}
+    assert want == sorted((r["doc_id"], i, *o, n[i]) for r in docs.collect() for i, o in searcher.find(r["text"]).items())
+
+
+def test_one_overlap_over_two_regions_and_a_run_of_one_word(spark):
+    item = [f"w{i}" for i in range(200)]
+    middle = [f"x{i}" for i in range(60)]
+    text = " ".join(["a"] * 5 + item[:70] + middle + item[130:])
+    docs = spark.createDataFrame([(1, text), (2, "no " * 3000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (1, " ".join(item)), (2, "no " * 500)], "item_id long, text string")
+    got = sorted(tuple(r) for r in decontam.overlaps(docs, bench).collect())
+    # four tokens of the changed middle lie in windows of either side
+    assert got == [(1, 1, 140, 148, 5, 0, 200)] * 2 + [(2, 2, 500, 500, 0, 0, 500)]
+
+
+def test_the_filter_holds_all_that_was_entered():
+    rng = np.random.default_rng(0)
+    h = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
+    bitmap = np.zeros(1 << 15, np.uint8)
+    decontam.fill(bitmap, h)
+    assert len(decontam.entered(bitmap, h)) == 5000 and len(decontam.entered(bitmap, rng.integers(0, 1 << 63, 200_000).astype(np.uint64))) < 2000
+    assert not len(decontam.entered(np.zeros(16, np.uint8), h))
 
 
 # --- 2 ---------------------------------------------------------------------------------------------------------
