@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,7 +40,8 @@ MAX_DEPTH = 120
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*)?)?)*)>?", re.S)
 _ATTR = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>\"'][^\s>]*))?)?")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_BRACE = re.compile(r"[{}]")
+_INTEGER = re.compile(r"\s*([+-]?)0*([0-9]{1,10})([0-9]*)")
 _SIMPLE = re.compile(r"(?:[a-zA-Z][\w-]*)?(?:[.#][\w-]+)?$")
 
 
@@ -120,18 +123,49 @@ def _declared(css: str) -> dict[str, str]:
     return out
 
 
+def _uncommented(css: str) -> str:
+    parts, at = [], 0
+    while (begin := css.find("/*", at)) >= 0:
+        parts.append(css[at:begin])
+        end = css.find("*/", begin + 2)
+        if end < 0:
+            return "".join(parts)
+        at = end + 2
+    return "".join([*parts, css[at:]])
+
+
+def _rules(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of every innermost block, in one pass."""
+    at, selectors = 0, None
+    for m in _BRACE.finditer(css):
+        held, at = css[at : m.start()], m.end()
+        if m[0] == "{":
+            selectors = held
+        elif selectors is not None:
+            yield selectors.rpartition(";")[2], held
+            selectors = None
+
+
 def _sheet(styles: list[str]) -> dict[str, dict[str, str]]:
     """display and visibility of rules with simple selectors: a tag, .class, #id or tag with one of them."""
     rules: dict[str, dict[str, str]] = {}
     for text in styles:
-        for m in _RULE.finditer(re.sub(r"/\*.*?\*/", "", text, flags=re.S)):
-            d = {k: v for k, v in _declared(m[2]).items() if k in ("display", "visibility")}
-            for s in m[1].split(",") if d else ():
+        for selectors, body in _rules(_uncommented(text)):
+            d = {k: v for k, v in _declared(body).items() if k in ("display", "visibility")}
+            for s in selectors.split(",") if d else ():
                 if _SIMPLE.match(s := s.strip()) and s:
                     rules.setdefault(s, {}).update(d)
     return rules
 
 
+def _integer(text: str, default: int, least: int, most: int) -> int:
+    """The whole number that text begins with, as HTML reads it, within least and most; default where it begins with none."""
+    if not (m := _INTEGER.match(text)):
+        return default
+    n = most if m[3] else int(m[2])
+    return max(least, min(most, -n if m[1] == "-" else n))
+
+
 def _style(node: Node, sheet: dict[str, dict[str, str]]) -> dict[str, str]:
     out: dict[str, str] = {}
     if sheet:
@@ -198,16 +232,25 @@ class Renderer:
             else:
                 self.element(c, out, seen, pre)
 
-    def element(self, node: Node, out: Flow, seen: bool, pre: bool) -> None:
+    def state(self, node: Node, seen: bool) -> tuple[bool, bool, dict[str, str]]:
+        """Whether an element takes part in the layout, whether its text is seen, and its style: the one place that decides on either."""
         tag, attrs = node.tag, node.attrs
-        if tag in HIDDEN or "hidden" in attrs or tag == "dialog" and "open" not in attrs:
-            return
         style = _style(node, self.sheet) if self.sheet or "style" in attrs else {}
-        display = style.get("display", "")
-        if display == "none":
-            return
+        out = tag in HIDDEN or "hidden" in attrs or style.get("display") == "none" or tag == "dialog" and "open" not in attrs
         if "visibility" in style:
             seen = style["visibility"] not in ("hidden", "collapse")
+        return not out, seen, style
+
+    def element(self, node: Node, out: Flow, seen: bool, pre: bool) -> None:
+        tag, attrs = node.tag, node.attrs
+        there, seen, style = self.state(node, seen)
+        if not there:
+            return
+        display = style.get("display", "")
+        if tag == "details" and "open" not in attrs:  # closed: its first summary alone
+            shown = next((c for c in node.children if isinstance(c, Node) and c.tag == "summary"), None)
+            node = Node(tag, attrs)
+            node.children = [shown] if shown else []
         if tag == "br":
             line = "".join(out.now).strip(" ")
             out.now = []
@@ -252,8 +295,7 @@ class Renderer:
             self.flow(node, out, seen, pre)
 
     def items(self, node: Node, out: Flow, seen: bool, pre: bool) -> None:
-        start = node.attrs.get("start", "")
-        n = int(start) if start.lstrip("-").isdecimal() else 1
+        n = _integer(node.attrs.get("start", ""), 1, -(2**31), 2**31 - 1)
         for c in node.children:
             if isinstance(c, str):
                 if seen:
@@ -276,75 +318,82 @@ class Renderer:
         out.flush(pre)
 
     def table(self, node: Node, out: Flow, seen: bool) -> None:
-        grid: list[list[tuple[list[str], int]]] = []
-        taken: dict[tuple[int, int], bool] = {}
+        rows: list[tuple[Node, bool]] = []
 
-        def row(tr: Node) -> None:
-            r = len(grid)
-            cells: list[tuple[list[str], int, int]] = []
-            col = 0
-            for c in tr.children:
-                if isinstance(c, str) or c.tag not in ("td", "th"):
-                    if not isinstance(c, str) or c.strip():
-                        loose(c)
-                    continue
-                holder = Flow()
-                alone = Node("#cell", {})
-                alone.children = [Node("div", c.attrs)]
-                alone.children[0].children = c.children
-                self.flow(alone, holder, seen, False)
-                holder.flush()
-                while taken.get((r, col)):
-                    col += 1
-                wide, high = (min(max(int(v), 1), 1000) if (v := c.attrs.get(k, "").strip()).isdecimal() else 1 for k in ("colspan", "rowspan"))
-                cells.append((holder.lines, col, wide))
-                for y in range(1, high):
-                    for x in range(wide):
-                        taken[r + y, col + x] = True
-                col += wide
-            grid.append(cells)
-
-        def loose(c) -> None:
+        def loose(c, seen: bool) -> None:
             if isinstance(c, str):
                 if seen and c.strip():
                     out.text(c, False)
             else:
                 self.element(c, out, seen, False)
 
-        for c in node.children:
-            if isinstance(c, str):
-                loose(c)
-            elif c.tag == "tr":
-                row(c)
-            elif c.tag in ("tbody", "thead", "tfoot"):
-                style = _style(c, self.sheet)
-                if "hidden" in c.attrs or style.get("display") == "none":
+        def gather(parent: Node, seen: bool) -> None:
+            for c in parent.children:
+                if isinstance(c, str) or c.tag not in ("tr", "tbody", "thead", "tfoot") or (c.tag != "tr" and parent is not node):
+                    loose(c, seen)
                     continue
-                for t in c.children:
-                    row(t) if isinstance(t, Node) and t.tag == "tr" and "hidden" not in t.attrs and _style(t, self.sheet).get("display") != "none" else loose(t)
-            else:
-                loose(c)
+                there, own, _ = self.state(c, seen)
+                if there and c.tag == "tr":
+                    rows.append((c, own))
+                elif there:
+                    gather(c, own)
+
+        gather(node, seen)
+        grid: list[list[tuple[list[str], int, int]]] = []
+        spans: list[tuple[int, int, int]] = []  # columns [from, to) that cells of rows above take up to a row, in order
+        for r, (tr, own) in enumerate(rows):
+            spans = [s for s in spans if s[2] > r]
+            cells, below, col, at = [], [], 0, 0
+            for c in tr.children:
+                if isinstance(c, str) or c.tag not in ("td", "th"):
+                    loose(c, own)
+                    continue
+                there, cell_seen, style = self.state(c, own)
+                if not there:
+                    continue
+                while at < len(spans) and spans[at][0] <= col:
+                    col, at = max(col, spans[at][1]), at + 1
+                holder = Flow()
+                pre = style.get("white-space", "").startswith("pre")
+                self.flow(c, holder, cell_seen, pre)
+                holder.flush(pre)
+                wide, high = _integer(c.attrs.get("colspan", ""), 1, 1, 1000), _integer(c.attrs.get("rowspan", ""), 1, 0, 65534)
+                cells.append((holder.lines, col, wide))
+                until = min(r + high, len(rows)) if high else len(rows)
+                if until > r + 1:
+                    below.append((col, col + wide, until))
+                col += wide
+            if below:
+                merged: list[tuple[int, int, int]] = []
+                for s in sorted(spans + below):
+                    if merged and merged[-1][2] == s[2] and merged[-1][1] >= s[0]:
+                        merged[-1] = (merged[-1][0], max(merged[-1][1], s[1]), s[2])
+                    else:
+                        merged.append(s)
+                spans = merged
+            grid.append(cells)
         out.flush()
-        widths: dict[int, int] = {}
-        for cells in grid:
-            for lines, col, wide in cells:
-                if wide == 1:
-                    widths[col] = max([widths.get(col, 0), *map(len, lines)])
+        # a column is a place where a cell begins; a cell that spans more of them only pushes what comes after
+        columns = sorted({col for cells in grid for _, col, _ in cells})
+        number = {col: i for i, col in enumerate(columns)}
+        widths, over = [0] * len(columns), [[] for _ in columns]
         for cells in grid:
             for lines, col, wide in cells:
-                room = sum(widths.get(col + i, 0) for i in range(wide)) + 2 * (wide - 1)
-                if wide > 1 and (more := max([0, *map(len, lines)]) - room) > 0:
-                    widths[col + wide - 1] = widths.get(col + wide - 1, 0) + more
-        starts, x = {}, 0
-        for col in range(max(widths, default=-1) + 1):
-            starts[col] = x
-            x += widths.get(col, 0) + 2
+                i, end = number[col], bisect_left(columns, col + wide)
+                size = max(map(len, lines), default=0)
+                if end == i + 1:
+                    widths[i] = max(widths[i], size)
+                else:
+                    over[end - 1].append((i, size))
+        starts = [0] * (len(columns) + 1)
+        for i in range(len(columns)):
+            starts[i + 1] = max([starts[i] + widths[i] + 2, *(starts[k] + size + 2 for k, size in over[i])])
         for cells in grid:
             for i in range(max([0, *(len(lines) for lines, _, _ in cells)])):
                 line = ""
                 for lines, col, _ in cells:
                     if i < len(lines) and lines[i]:
-                        line = line.ljust(starts.get(col, len(line))) + lines[i]
+                        line = line.ljust(starts[number[col]]) + lines[i]
                 out.put(line.rstrip())
 
 
@@ -367,9 +416,11 @@ def _render(pages: pd.Series) -> pd.Series:
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """page_id and text for every row of pages.
 
-    Hidden: HIDDEN elements, the hidden attribute, closed dialogs, display:none
-    and visibility:hidden, inline or by simple selectors of the page's own
-    style sheets. Blocks stand on lines of their own, SPACED ones with empty
+    Hidden: HIDDEN elements, the hidden attribute, closed dialogs, what a closed
+    details has beside its summary, display:none and visibility:hidden, inline
+    or by simple selectors of the page's own style sheets, for table rows and
+    cells as for all others. Numbers in attributes are read as HTML does:
+    what is no number counts as absent, what is out of range as the nearest. Blocks stand on lines of their own, SPACED ones with empty
     lines around, list items behind their mark, nested ones indented, cells of
     a table in aligned columns; white space folds except in pre. A null page
     gives an empty text; null ids and repeated rows are rendered like any row;

@@ -154,6 +154,19 @@ PAGES = {
     "1 < 2 and 3 > 2": "1 < 2 and 3 > 2",
     "<blockquote>q</blockquote>z": "  q\n\nz",
     "": "",
+    "<table><tr hidden><td>no</tr><tr style='display:none'><td>no<tr><td>yes</table>": "yes",
+    "<table><tbody><tr style='visibility:hidden'><td>no<td style='visibility:visible'>yes</table>": "  yes",
+    "<table><tbody style='visibility:hidden'><tr><td>no</tbody><tbody hidden><tr><td>no</tbody><tr><td>yes</table>": "yes",
+    "<style>td.x{display:none} tr#y{visibility:collapse}</style><table><tr><td class=x>no<td>a<tr id=y><td>no</table>": "a",
+    "<details><summary>more</summary>no</details><details open><summary>s</summary>yes</details>": "more\ns\nyes",
+    "<ol start='--5'><li>a</ol><ol start=-2><li>b</ol><ol start=' +7x'><li>c</ol>": "1. a\n\n-2. b\n\n7. c",
+    f"<ol start={'9' * 5000}><li>a</ol>": f"{2**31 - 1}. a",
+    f"<table><tr><td colspan={'9' * 5000}>a<td rowspan={'1' * 5000}>b<tr><td>c</table>": "a  b\nc",
+    "<table><tr><td rowspan=0>r<td>1<tr><td>2<tr><td>3</table>": "r  1\n   2\n   3",
+    "<table><tr><td>a<td colspan=3>b<td>c<tr><td>dd<td>e</table>": "a   b  c\ndd  e",
+    "<style>@media print{.a{display:none}} .b{display:none}/* .c{display:none}</style><p class=a>no<p class=b>no<p class=c>yes": "yes",
+    "<div>" * 119 + "a" + "</div>" * 119 + "b": "a\nb",
+    "<div>" * 121 + "a" + "</div>" * 121 + "b": "a\nb",
     "<!doctype html><html><head><title>no</title></head><body>x": "x",
 }
 
@@ -200,6 +213,28 @@ def test_quotes_open_values_only_after_an_equals_sign(page, text):
     assert html_render.render(page) == text
 
 
+def test_mutated_pages_never_raise(spark, sf):
+    rng = np.random.default_rng(9)
+    own = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").orderBy("page_id").limit(20).collect()] + [p for p in PAGES if len(p) < 3000]
+    bits = [x for p in own for x in re.findall(r"<[^>]*>|[^<]+", p)] + ["<", ">", "'", '"', "</", "<!--", "--", "&#", "&#x110000;", "&#99999999999;", "{", "}", "/*", "\x00", "<td", " colspan=-1 ", " rowspan=65535", "<svg", "<![CDATA["]
+    for _ in range(600):
+        page = "".join(bits[i] for i in rng.integers(0, len(bits), int(rng.integers(1, 80))))
+        cut = sorted(rng.integers(0, len(page) + 1, 2))
+        assert isinstance(html_render.render(page), str) and isinstance(html_render.render(page[cut[0] : cut[1]]), str)
+
+
+def test_hostile_pages_take_time_in_proportion():
+    import time
+
+    for page in (
+        "<table>" + "<tr>" + "<td rowspan=1000 colspan=1000>x" * 3, "<table>" + "<td colspan=1000 rowspan=9999>" * 5000 + "<tr><td>" * 5000, "<style>" + "a" * 200_000 + "</style>b", "<style>" + "/*" * 100_000,
+        "<style>" + "a{" * 100_000, "<!--" * 50_000, "<a " + "b=' " * 50_000, "<b>" * 50_000 + "</i>" * 50_000, "<textarea>" * 20_000, "&" * 200_000, "<p>x" * 20_000 + " long" * 100_000,
+    ):
+        began = time.process_time()
+        html_render.render(page)
+        assert time.process_time() - began < 4, page[:40]
+
+
 def test_odd_pages(spark):
     odd = spark.createDataFrame([(1, None, "k"), (None, "<p>x", "k"), (2, "", "k"), (2, "", "k"), (3, "<div>" * 5000 + "deep", "k"), (4, "<a b='", "k"), (5, "<table><td>x", "k")], "page_id long, html string, text string")
     assert sorted((r["page_id"] or 0, r["text"]) for r in html_render.extract(odd).collect()) == [(0, "x"), (1, ""), (2, ""), (2, ""), (3, "deep"), (4, ""), (5, "x")]
