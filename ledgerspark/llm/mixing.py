@@ -10,7 +10,7 @@ from ledgerspark.llm.common import written
 #: Weights that the sources take in turn, the share of all words to take, and the most copies of a document.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 WORD = r"[^\x20\x09-\x0D]+"
-NEWTON_ROUNDS, TOLERANCE, MEND_ROUNDS = 60, 1e-7, 12
+NEWTON_ROUNDS, TOLERANCE, MEND_ROUNDS = 150, 1e-7, 12
 _FINE = 1 << 20
 _BUCKET_ROWS = 8192
 
@@ -49,23 +49,23 @@ def _exact(x: Column) -> Column:
 
 
 def _tilt(cells: DataFrame, goal: DataFrame, most: int) -> DataFrame:
-    """goal with tilt: min(most, exp(tilt * size / mean size)) copies a document meet each source's target.
+    """(key, size, n, rate): min(most, exp(tilt * size / the source's mean size)) copies a document meet each source's target.
 
     Newton's method on the convex dual of the entropy balance, one dimension
     a source and all sources at once: each round is one aggregation over the
-    cells. Steps are bounded, and bisected where they leave the bracket.
+    cells. Steps are bounded, and bisected where they leave the bracket. A
+    source that is not at its target after NEWTON_ROUNDS raises.
     """
-    mean = cells.agg(F.sum(F.col("n") * F.col("size")) / F.sum("n")).first()[0]
-    x = F.col("size") / float(mean or 1)
-    zero = F.lit(0.0)
+    mean = cells.groupBy("key").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean"))
     state = written(
-        goal.withColumn("tilt", zero).withColumn("low", F.lit(None).cast("double")).withColumn("high", F.lit(None).cast("double"))
+        goal.join(mean, "key").withColumn("mean", F.greatest("mean", F.lit(1e-9))).withColumn("tilt", F.lit(0.0)).withColumn("low", F.lit(None).cast("double")).withColumn("high", F.lit(None).cast("double"))
         .withColumn("done", (F.col("target") <= 0) | (F.col("target") >= most * F.col("source_size") * (1 - 1e-12))),
         "tilt",
     )
-    for _ in range(NEWTON_ROUNDS):
+    x = F.col("size") / F.col("mean")
+    for i in range(NEWTON_ROUNDS):
         raw = F.exp(F.least(F.col("tilt") * x, F.lit(50.0)))
-        own = cells.join(state.where("not done").select("key", "tilt"), "key")
+        own = cells.join(state.where("not done").select("key", "tilt", "mean"), "key")
         words = F.col("n") * F.col("size")
         got = own.groupBy("key").agg(_exact(words * F.least(raw, F.lit(float(most)))).alias("f"), _exact(F.when(raw < most, words * x * raw).otherwise(0.0)).alias("d"))
         s = state.join(got, "key", "left")
@@ -73,16 +73,22 @@ def _tilt(cells: DataFrame, goal: DataFrame, most: int) -> DataFrame:
         under = F.col("f") < F.col("target")
         low = F.when(under, F.col("tilt")).otherwise(F.col("low"))
         high = F.when(under, F.col("high")).otherwise(F.col("tilt"))
-        step = F.when(F.col("d") > 0, (F.col("target") - F.col("f")) / F.col("d")).otherwise(F.when(under, 4.0).otherwise(-4.0))
-        s = s.withColumn("low", low).withColumn("high", high).withColumn("next", F.col("tilt") + F.greatest(F.lit(-4.0), F.least(F.lit(4.0), step)))
+        most_step = F.lit(4.0 * 2**i)  # until a source has a bracket, its steps may double each round
+        step = F.when(F.col("d") > 0, (F.col("target") - F.col("f")) / F.col("d")).otherwise(F.when(under, most_step).otherwise(-most_step))
+        s = s.withColumn("low", low).withColumn("high", high).withColumn("next", F.col("tilt") + F.greatest(-most_step, F.least(most_step, step)))
         inside = (F.col("low").isNull() | (F.col("next") > F.col("low"))) & (F.col("high").isNull() | (F.col("next") < F.col("high")))
-        reach = F.when(inside, F.col("next")).when(F.col("low").isNotNull() & F.col("high").isNotNull(), (F.col("low") + F.col("high")) / 2).otherwise(F.col("next"))
-        state = written(s.select("key", "source", "source_size", "target", F.when(met, F.col("tilt")).otherwise(reach).alias("tilt"), "low", "high", met.alias("done")), "tilt")
-        if not state.where("not done").head(1):
+        # every third round halves the bracket, so that it closes whatever the curve
+        newton = inside & F.lit(i % 3 < 2)
+        reach = F.when(newton, F.col("next")).when(F.col("low").isNotNull() & F.col("high").isNotNull(), (F.col("low") + F.col("high")) / 2).otherwise(F.col("next"))
+        state = written(s.select("key", "source", "source_size", "target", "mean", F.when(met, F.col("tilt")).otherwise(reach).alias("tilt"), "low", "high", met.alias("done")), "tilt")
+        open_ = state.where("not done").select("source").head(1)
+        if not open_:
             break
+    else:
+        raise RuntimeError(f"source {open_[0]['source']!r} is not at its target after {NEWTON_ROUNDS} rounds")
     full = F.col("target") >= most * F.col("source_size") * (1 - 1e-12)
     rate = F.when(F.col("target") <= 0, F.when(F.col("size") > 0, 0.0).otherwise(1.0)).when(full, F.lit(float(most))).otherwise(F.least(F.exp(F.least(F.col("tilt") * x, F.lit(50.0))), F.lit(float(most))))
-    return cells.join(state.select("key", "target", "tilt", "source_size"), "key").select("key", "size", "n", F.round(rate, 9).alias("rate"))
+    return cells.join(state.select("key", "target", "tilt", "source_size", "mean"), "key").select("key", "size", "n", F.round(rate, 9).alias("rate"))
 
 
 def _copies(rated: DataFrame, goal: DataFrame, most: int) -> DataFrame:
@@ -119,7 +125,9 @@ def _copies(rated: DataFrame, goal: DataFrame, most: int) -> DataFrame:
     return cells
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, carry: list[str] | None = None
+) -> DataFrame:
     """Every row of docs with _ls_size, _ls_source_size, _ls_target and _ls_copies (0 to most).
 
     A document's rate is the tilted exp(tilt * size), most at the limit, with
@@ -127,22 +135,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     and size share a rate; which of them get the odd copies is decided by a hash
     of id and text, so reruns agree. Null texts have size 0 and, like empty
     ones, rate 1; a null source is a source of its own, last in order. Repeated
-    rows are documents of their own; null ids take part. Other columns pass
-    through. An empty table gives an empty result.
-
-    Statistics are counts by (source, size), combined before their shuffle.
-    Texts are shuffled once, by source, size and a hash bucket, so that no
-    source and no group of copies meets in one task.
+    rows are documents of their own; null ids take part. The columns in carry
+    (all of docs by default) pass through. An empty table gives an empty result.
+
+    Words are counted once, into a written table of what is carried. Targets
+    and tilts come from counts by (source, size), combined before their
+    shuffle; the odd copies of a cell are dealt over hash buckets, by counts
+    that have a row a bucket. Rows are shuffled once, by source, size and
+    bucket, so no source and no group of copies meets in one task. Sources are
+    put in order in one task, a row each; Spark broadcasts tables by source
+    where it finds them small and else shuffles them.
     """
+    carry = docs.columns if carry is None else carry
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit(""))
-    buckets = max(16, docs.count() // _BUCKET_ROWS)
-    tie = F.xxhash64(F.col(id_col), F.col(text_col))
-    sized = docs.withColumns({"_ls_key": key, "_ls_size": word_count(F.col(text_col)), "_ls_tie": tie}).withColumn("_ls_bucket", F.pmod("_ls_tie", F.lit(buckets)))
-    by = written(sized.groupBy("_ls_key", F.col(source_col).alias("source"), "_ls_size", "_ls_bucket").agg(F.count("*").alias("m")).select(F.col("_ls_key").alias("key"), "source", F.col("_ls_size").alias("size"), F.col("_ls_bucket").alias("bucket"), "m"), "mix_cells")
-    cells = by.groupBy("key", "size").agg(F.sum("m").alias("n"))
-    sizes = by.groupBy("key", "source").agg(F.sum(F.col("m") * F.col("size")).alias("source_size"))
-    goal = written(targets(sizes, weights, share, most), "targets")
-    copies = _copies(_tilt(written(cells, "cells"), goal, most), goal, most)
+    own = [F.col(f"`{c}`") for c in carry]
+    sized = written(docs.select(*own, F.col(source_col).alias("_ls_source"), key.alias("_ls_key"), word_count(F.col(text_col)).alias("_ls_size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_ls_tie")), "sized")
+    per_size = written(sized.groupBy("_ls_key", "_ls_source", "_ls_size").agg(F.count("*").alias("n")).select(F.col("_ls_key").alias("key"), F.col("_ls_source").alias("source"), F.col("_ls_size").alias("size"), "n"), "cells")
+    total, sizes = per_size.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], per_size.groupBy("key", "source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
+    goal, cells = written(targets(sizes, weights, share, most), "targets"), per_size.select("key", "size", "n")
+    copies = _copies(_tilt(cells, goal, most), goal, most)
+    bucket = F.pmod("_ls_tie", F.lit(max(16, total // _BUCKET_ROWS)))
+    by = sized.groupBy(F.col("_ls_key").alias("key"), F.col("_ls_size").alias("size"), bucket.alias("bucket")).agg(F.count("*").alias("m"))
     before = F.coalesce(F.sum("m").over(Window.partitionBy("key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     quota = by.select("key", "size", "bucket", "m", before.alias("before")).join(copies, ["key", "size"]).join(goal.select("key", "source_size", "target"), "key")
     odd = F.col("copies") % F.col("n") - F.col("before")
@@ -152,12 +165,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col("source_size").alias("_ls_source_size"), F.col("target").alias("_ls_target"),
     )
     on = ["_ls_key", "_ls_size", "_ls_bucket"]
-    place = F.row_number().over(Window.partitionBy(*on).orderBy("_ls_tie", id_col))
-    out = sized.join(quota, on).withColumn("_ls_copies", (F.col("_ls_base") + F.when(place <= F.col("_ls_odd"), 1).otherwise(0)).cast("int"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "_ls_size", "_ls_source_size", "_ls_target", "_ls_copies")
+    place = F.row_number().over(Window.partitionBy(*on).orderBy("_ls_tie"))
+    out = sized.withColumn("_ls_bucket", bucket).join(quota, on).withColumn("_ls_copies", (F.col("_ls_base") + F.when(place <= F.col("_ls_odd"), 1).otherwise(0)).cast("int"))
+    return out.select(*own, "_ls_size", "_ls_source_size", "_ls_target", "_ls_copies")
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
-    """docs as mixed: every row as often as it has copies, with the columns of docs."""
+    """docs as mixed: every row as often as it has copies, with the columns of docs.
+
+    Nulls, ties, repeated rows and empty tables: as in mix(). An empty text has
+    rate 1, so it is taken once.
+    """
     mixed = mix(docs, **options).where("_ls_copies > 0")
     return mixed.withColumn("_ls_copy", F.explode(F.sequence(F.lit(1), "_ls_copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])

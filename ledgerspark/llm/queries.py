@@ -50,7 +50,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return mixed.selectExpr("doc_id", "_ls_size AS size", "_ls_source_size AS source_size", "_ls_target AS target", "_ls_copies * _ls_size AS taken")
 
 
