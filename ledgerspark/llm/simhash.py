@@ -187,7 +187,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id, signed fp.
+    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id, signed fp, tie (a hash of the text).
 
     Null and empty texts have fingerprint zero and link like any other. Rows
     with a null id take part but name no component: component_id is the smallest
@@ -195,23 +195,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     often as they come in. Other columns are not read. An empty table gives an
     empty result.
     """
-    base = written(docs.select(F.col(id_col).alias("doc_id"), _fingerprints(F.col(text_col)).alias("fp")), "fingerprints")
+    base = written(docs.select(F.col(id_col).alias("doc_id"), _fingerprints(F.col(text_col)).alias("fp"), F.xxhash64(text_col).alias("tie")), "fingerprints")
     reps = base.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = connected_components(links(reps.select("fp")))
     named = reps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     of = named.join(lowest, "root").select("fp", "component_id")
-    return base.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+    return base.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp", "tie")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each near-duplicate group: the one with the smallest id.
-
-    Rows that repeat one id count as one document, and one of them stays. Rows
-    with a null id cannot be named and all stay.
+    """docs with one document of each near-duplicate group: the one with the smallest id, and of texts under that id the one with the smallest hash.
+
+    Wholly equal rows (id and text) count as one document, and one of them
+    stays. Rows of one id with different texts are judged each by its own. Rows
+    with a null id cannot be named and all stay; null and empty texts are
+    near-duplicates of one another. Columns of any name pass through; an empty
+    table gives an empty one. What goes is named by (id, hash) in an anti join,
+    so texts are shuffled only where that list is too large to broadcast.
     """
-    losers = near_duplicates(docs, id_col, text_col).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_ls_id")).distinct()
-    named = docs.where(F.col(id_col).isNotNull())
-    kept = named.join(losers, named[id_col] == losers["_ls_id"], "left_anti")
-    once = kept.withColumn("_ls_rank", F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))).where("_ls_rank = 1").drop("_ls_rank")
-    return once.unionByName(docs.where(F.col(id_col).isNull()))
+    found = written(near_duplicates(docs, id_col, text_col).where("doc_id is not null").groupBy("doc_id", "tie").agg(F.first("component_id").alias("component_id"), F.count("*").alias("n")), "groups")
+    best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "tie")).alias("best"))
+    judged = found.join(best, "component_id").select(F.col("doc_id").alias("_ls_id"), F.col("tie").alias("_ls_tie"), (F.struct("doc_id", "tie") == F.col("best")).alias("_ls_best"), F.col("n").alias("_ls_n"))
+    judged = written(judged.where("not _ls_best or _ls_n > 1"), "judged")
+    on = lambda d: (d[id_col] == F.col("_ls_id")) & (F.xxhash64(d[text_col]) == F.col("_ls_tie"))
+    alone = docs.join(judged.select("_ls_id", "_ls_tie"), on(docs), "left_anti")
+    again = docs.join(judged.where("_ls_best").select("_ls_id", "_ls_tie"), on(docs), "left_semi")
+    place = F.row_number().over(Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(id_col))
+    return alone.unionByName(again.withColumn("_ls_rank", place).where("_ls_rank = 1").drop("_ls_rank"))
