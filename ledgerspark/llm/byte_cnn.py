@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes that a filter sees, and filters.
@@ -125,17 +125,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Both labels get half of max_rows at most. Held-out rows, null ids and
     labels other than 0 and 1 are left out; an id that labels repeat counts once
-    with its smallest label. Only text and label reach the network.
+    with its smallest label, one that documents repeat once with the text of the
+    smallest hash. Only text and label reach the network.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_ls_id")).agg(F.min(label_col).alias("_ls_y"))
-    slim = docs.select(F.col(id_col).alias("_ls_id"), F.col(text_col).alias("_ls_text")).where(F.octet_length("_ls_text") <= MAX_ROW_BYTES)
-    both = slim.join(known, "_ls_id")
-    rows = []
-    for y in (0, 1):
-        # ids first, so that the sort carries no texts
-        ids = both.where(F.col("_ls_y") == y).select("_ls_id").distinct().orderBy(F.xxhash64("_ls_id"), "_ls_id").limit(max_rows // 2)
-        ids = [i for i, in ids.collect()]
-        rows += slim.where(F.col("_ls_id").isin(ids)).select("_ls_id", F.lit(y), "_ls_text").collect() if ids else []
+    slim = docs.select(F.col(id_col).alias("_ls_id"), F.col(text_col).alias("_ls_text")).where(F.octet_length("_ls_text") <= MAX_ROW_BYTES).withColumn("_ls_tie", F.xxhash64("_ls_text"))
+    # ids first, so that the sort carries no texts; an id that documents repeat has one text, whatever their number
+    ids = slim.select("_ls_id", "_ls_tie").join(known, "_ls_id").groupBy("_ls_y", "_ls_id").agg(F.min("_ls_tie").alias("_ls_tie"))
+    place = F.row_number().over(Window.partitionBy("_ls_y").orderBy(F.xxhash64("_ls_id"), "_ls_id"))
+    chosen = {(r["_ls_id"], r["_ls_tie"]): r["_ls_y"] for r in ids.withColumn("k", place).where(F.col("k") <= max_rows // 2).collect()}
+    asked = slim.where(F.col("_ls_id").isin([i for i, _ in chosen]) & F.col("_ls_tie").isin([t for _, t in chosen]))
+    texts = asked.groupBy("_ls_id", "_ls_tie").agg(F.min("_ls_text").alias("_ls_text")).collect() if chosen else []
+    rows = [(r["_ls_id"], chosen[r["_ls_id"], r["_ls_tie"]], r["_ls_text"]) for r in texts if (r["_ls_id"], r["_ls_tie"]) in chosen]
     rows.sort()
     return fit([t for _, _, t in rows], [y for _, y, _ in rows])
 
@@ -162,5 +163,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with a score of THRESHOLD or more, all columns as they are."""
+    """The rows of docs with a score of THRESHOLD or more, all columns as they are.
+
+    A row stays or goes by its text alone: null and empty texts by the score of
+    an empty text, repeated rows together, null ids like any other. Without
+    labels every score is 0.5 and nothing stays; an empty table stays empty.
+    """
     return docs.where(scorer(train(docs, labels, id_col, text_col))(F.col(text_col)) >= THRESHOLD)
