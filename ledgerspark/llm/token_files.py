@@ -222,8 +222,8 @@ def _blocked(rank_of: np.ndarray, block_ids: int):
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> None:
     """Writes the ids of docs, each with end_id after them, to folder.
 
-    Documents stand in ascending id order: null ids first, equal ids by their
-    bytes; every row is written, repeated ones too. A null text is an
+    Documents stand in ascending id order: null ids first, equal ids by a hash
+    of their ids, then by these; every row is written, repeated ones too. A null text is an
     empty one (its end_id alone). Texts are tokenized once, where they are
     read; only ids are shuffled. A document is never cut: a block holds
     block_ids ids at most unless one document has more. The counts that rank
@@ -239,7 +239,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_I
     rank_of = np.zeros(max(ranked, default=0) + 1, np.uint32)
     rank_of[ranked] = np.arange(len(ranked), dtype=np.uint32)
     spark.createDataFrame([(i, x) for i, x in enumerate(ranked)], "rank long, id long").coalesce(1).write.parquet(f"{folder}/ranks")
-    in_order = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    tied = ids.withColumn("tie", F.xxhash64("ids"))  # rows without an id, or of one id, are still dealt over files
+    in_order = tied.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids").drop("tie")
     in_order.mapInArrow(_blocked(rank_of, block_ids), f"part long, block long, {_BLOCK}").write.option("compression", "none").parquet(f"{folder}/blocks")
     delete_path(spark, scratch)
 

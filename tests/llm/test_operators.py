@@ -319,6 +319,12 @@ def test_simhash_on_awkward_rows(spark, awkward):
     assert kept == {1: 1, 4: 1, 5: 1, 6: 1, 7: 1, 9: 1, 10: 1, 11: 1, None: 2} and simhash.keep_one(awkward).columns == awkward.columns
 
 
+def test_keep_one_judges_texts_under_one_id_by_themselves(spark):
+    a, b = "some words that stand here for the first text of all", "quite other words of the second text under the same id as before"
+    docs = spark.createDataFrame([(1, a), (2, b), (2, a), (2, a), (3, "a third one that no other text is near to, all alone"), (3, "a third one that no other text is near to, all alone")], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(docs).collect())) == [(1, a), (2, b), (3, "a third one that no other text is near to, all alone")]
+
+
 def test_crowded_buckets_lose_no_link(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = int(rng.integers(1 << 63))
@@ -618,6 +624,18 @@ def test_mix(which, request):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_sources_of_odd_sizes_come_near_their_targets(spark):
+    """Beside long texts: one-word texts alone, a mix of one-word and huge texts, and empty texts alone."""
+    docs = [(i, "w " * (300 + i % 200), "a") for i in range(400)] + [(1000 + i, "x", "b") for i in range(300)] + [(2000 + i, "y " * (5000 if i % 50 == 0 else 1), "c") for i in range(300)] + [(3000 + i, "", "d") for i in range(9)]
+    got = rows(mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string"), share=1.1))
+    taken, target, longest = Counter(), {}, Counter()
+    for r in got:
+        taken[r["source"]] += r["_ls_copies"] * r["_ls_size"]
+        target[r["source"]] = r["_ls_target"]
+        longest[r["source"]] = max(longest[r["source"]], r["_ls_size"])
+    assert all(abs(taken[s] - t) <= longest[s] / 2 + 1 for s, t in target.items())  # copies are whole
+
+
 def test_rates_are_exponential_tilts(spark):
     sizes = [(s, n) for s in "ab" for n in range(1, 400)]
     cells = spark.createDataFrame([(s, n, 3) for s, n in sizes], "key string, size long, n long")
@@ -649,6 +667,19 @@ def test_classifier(spark, awkward):
     assert byte_cnn.keep_good(awkward, labels).columns == awkward.columns
 
 
+def test_one_id_repeated_reaches_the_driver_once(spark):
+    docs = spark.range(100_000).selectExpr("CASE WHEN id < 99000 THEN 1 ELSE id END AS doc_id", "CASE WHEN id % 2 = 0 THEN 'some good text' ELSE 'bad || text' END AS text")
+    labels = spark.range(100_000).selectExpr("CASE WHEN id < 50000 THEN 1 ELSE id END AS doc_id", "CAST(id % 2 = 0 AS INT) AS quality")
+    seen = []
+    fit, byte_cnn.fit = byte_cnn.fit, lambda texts, y: seen.append((texts, y))
+    try:
+        byte_cnn.train(docs, labels, max_rows=40)
+    finally:
+        byte_cnn.fit = fit
+    texts, y = seen[0]
+    assert len(texts) == len(y) == 40 and sum(y) == 20
+
+
 def test_score_is_that_of_a_plain_convolution():
     net, text = byte_cnn.start(), "Some text, é and more of it. " * 9
     x = byte_cnn._padded(text.encode())
