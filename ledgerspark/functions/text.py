@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 # Words that carry no information in a question.
 STOPWORDS = (
-    "la cua va cho voi trong tren duoi den tu bao nhieu the nao gi co khong nam cong ty "
-    "hay hoac mot cac nhung duoc bi se da dang thi ma nay do vay ra vao ve boi"
-).split()
+    "la", "cua", "va", "cho", "voi", "trong", "tren", "duoi", "den", "tu", "bao", "nhieu", "the", "nao", "gi", "co", "khong", "nam", "cong", "ty",
+    "hay", "hoac", "mot", "cac", "nhung", "duoc", "bi", "se", "da", "dang", "thi", "ma", "nay", "do", "vay", "ra", "vao", "ve", "boi",
+)
 
 
 def let(value: Column, body) -> Column:

@@ -19,10 +19,11 @@ BRANDS = {
 }
 # Words and phrases that many names share.
 GENERIC = (
-    "xanh,viet,nam,vietnam,dau,khi,dien,luc,thep,sua,nhua,dam,than,cao,su,xay,dung,dich,vu,dau tu,phat trien,tap doan,san xuat,thuong mai,viet nam,ha noi,sai gon,"
-    "ho chi minh,thanh pho ho chi minh,mien nam,mien bac,mien trung,ngan hang,chung khoan,bat dong san,cong nghiep,cong nghe,quoc te,xuat nhap khau,khu,phat,trien,cong,"
-    "nghiep,tong,quan,ly,khu cong nghiep,phat trien khu cong nghiep"
-).split(",")
+    "xanh", "viet", "nam", "vietnam", "dau", "khi", "dien", "luc", "thep", "sua", "nhua", "dam", "than", "cao", "su", "xay", "dung", "dich", "vu",
+    "dau tu", "phat trien", "tap doan", "san xuat", "thuong mai", "viet nam", "ha noi", "sai gon", "ho chi minh", "thanh pho ho chi minh", "mien nam",
+    "mien bac", "mien trung", "ngan hang", "chung khoan", "bat dong san", "cong nghiep", "cong nghe", "quoc te", "xuat nhap khau", "khu", "phat",
+    "trien", "cong", "nghiep", "tong", "quan", "ly", "khu cong nghiep", "phat trien khu cong nghiep",
+)
 BALANCE_HINTS = ("so du", "cuoi nam", "dau nam", "tai ngay", "quy", "nganh")
 CASH_HINTS = ("luu chuyen tien", "dong tien", "tien thuan tu")
 #: Ratios that need both the balance sheet and the income statement.

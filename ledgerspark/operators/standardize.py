@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.functions.numbers import is_numeric_like, parse_number
+from ledgerspark.functions.numbers import is_numeric_like, with_number
 from ledgerspark.functions.periods import YEAR, parse_period
 from ledgerspark.functions.terms import map_one
 from ledgerspark.functions.text import let, normalize_ws
@@ -85,7 +85,7 @@ def column_roles(eav: DataFrame) -> DataFrame:
     """
     filled = F.col("cell") != ""
     column, table = Window.partitionBy("table_ref", "col_idx"), Window.partitionBy("table_ref")
-    s = eav.withColumn("figure", parse_number(F.col("cell"))).withColumns(
+    s = with_number(eav, "figure", F.col("cell")).withColumns(
         {
             "_n": F.count_if(filled).over(column),
             "_text": F.avg(F.when(filled, F.col("figure").isNull().cast("int"))).over(column),

@@ -67,8 +67,7 @@ def cagr(spark, sf):
 @query("""WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(strip_accents(regexp_replace(text, 'đ', 'd', 'g'))), '[^0-9a-z]+'), lambda x: x <> '') AS w FROM documents),
 e AS (SELECT doc_id, unnest(w) AS term FROM d) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM e GROUP BY term""")
 def fold_tokenize_df(spark, sf):
-    w = t(spark, sf, "documents").select("doc_id", F.explode(text.tokenize(F.col("text"), False)).alias("term"))
-    return w.groupBy("term", "doc_id").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return retrieve.term_counts(t(spark, sf, "documents"), "text", lambda c: text.tokenize(c, False))
 
 
 @query("""WITH d AS (SELECT doc_id AS ref, list_filter(string_split_regex(lower(text), '[^0-9a-z]+'), lambda x: x <> '') AS w FROM documents),
@@ -79,7 +78,8 @@ r AS (SELECT item_id AS query_id, ref, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 +
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, ref) AS rank FROM r)
 SELECT query_id, ref, round(score, 4)::DOUBLE AS score, rank::INT AS rank FROM k WHERE rank <= 10""")
 def bm25_topk(spark, sf):
-    index = retrieve.build_bm25(t(spark, sf, "documents"), "doc_id", "text", plain_tokens)
+    asked = retrieve.query_terms(t(spark, sf, "benchmark"), "item_id", "text", plain_tokens)
+    index = retrieve.build_bm25(t(spark, sf, "documents"), "doc_id", "text", plain_tokens, asked)
     return retrieve.bm25_search(index, t(spark, sf, "benchmark"), "item_id", "text", 10, plain_tokens).select("query_id", "ref", F.round("score", 4).alias("score"), "rank")
 
 
@@ -89,17 +89,17 @@ def _vectors(spark, sf):
 
 
 _KNN = """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS ref, round({f}(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)::DOUBLE AS score FROM embeddings AS a, embeddings AS b WHERE a.vec_id % 20 = 0),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score {d}, ref) AS rank FROM s) SELECT query_id, {c} AS score, rank::INT AS rank FROM k WHERE rank <= 10"""
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score {d}, ref) AS rank FROM s) SELECT query_id, ref, {c} AS score, rank::INT AS rank FROM k WHERE rank <= 10"""
 
 
 @query(_KNN.format(f="list_dot_product", d="DESC", c="score"))
 def knn_topk_ip(spark, sf):
-    return retrieve.knn(*_vectors(spark, sf), 10).select("query_id", "score", "rank")
+    return retrieve.knn(*_vectors(spark, sf), 10).select("query_id", "ref", "score", "rank")
 
 
 @query(_KNN.format(f="list_distance", d="ASC", c="0 - score"))
 def knn_topk_l2(spark, sf):
-    return retrieve.knn(*_vectors(spark, sf), 10, "l2").select("query_id", (F.lit(0.0) + F.col("score")).alias("score"), "rank")
+    return retrieve.knn(*_vectors(spark, sf), 10, "l2").select("query_id", "ref", (F.lit(0.0) + F.col("score")).alias("score"), "rank")
 
 
 @query("""WITH a AS (SELECT o_custkey AS q, o_orderkey AS ref, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders),
@@ -125,7 +125,8 @@ def filter_ladder(spark, sf):
 @query("SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS value FROM lineitem")
 def format_parse_roundtrip(spark, sf):
     cell = synth.vn_number(F.round(F.col("l_extendedprice") * 100).cast("long"))
-    return t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", numbers.parse_number(cell).alias("value"))
+    rows = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", cell.alias("cell"))
+    return numbers.with_number(rows, "value", F.col("cell")).drop("cell")
 
 
 @query("""SELECT o_orderkey, i + 1 AS part, (floor(o_totalprice) + i * 1000)::DOUBLE AS value FROM orders, (SELECT unnest([0, 1, 2]) AS i) WHERE o_totalprice >= 1000""")
@@ -135,7 +136,8 @@ def rowspan_roundtrip(spark, sf):
     cell = F.concat(F.lit("<table><tr><td rowspan=3>"), F.col("o_orderkey").cast("string"), F.lit("</td><td rowspan=\"3\">"), glued, F.lit("</td></tr><tr></tr><tr></tr></table>"))
     docs = t(spark, sf, "orders").where("o_totalprice >= 1000").select(F.col("o_orderkey").cast("string").alias("doc_id"), cell.alias("text"))
     rows = docs.select("doc_id", F.explode(extract.find_tables("text")).alias("tab")).select("doc_id", F.posexplode("tab.rows").alias("i", "row"))
-    return rows.select(F.col("doc_id").cast("long").alias("o_orderkey"), (F.col("i") + 1).alias("part"), numbers.parse_number(F.get("row", F.lit(1))).alias("value"))
+    cells = rows.select(F.col("doc_id").cast("long").alias("o_orderkey"), (F.col("i") + 1).alias("part"), F.get("row", F.lit(1)).alias("cell"))
+    return numbers.with_number(cells, "value", F.col("cell")).drop("cell")
 
 
 @query("""WITH a AS (SELECT user_id, event_id, ts, event_type, lag(event_type) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

@@ -30,12 +30,12 @@ def filter_refs(spark, sf):
 
 
 @query("""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS ref, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)::DOUBLE AS score FROM embeddings AS a JOIN embeddings AS b ON (a.vec_id + b.vec_id) % 3 = 0 WHERE a.vec_id % 20 = 0),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref) AS rank FROM s) SELECT query_id, score, rank::INT AS rank FROM k WHERE rank <= 10""")
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref) AS rank FROM s) SELECT query_id, ref, score, rank::INT AS rank FROM k WHERE rank <= 10""")
 def knn_restricted(spark, sf):
     e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("ref"), "embedding")
     q = e.where("ref % 20 = 0").select(F.col("ref").alias("query_id"), "embedding")
     allowed = q.select("query_id", (F.pmod(-F.col("query_id"), F.lit(3))).alias("k")).join(e.select("ref", (F.col("ref") % 3).alias("k")), "k")
-    return select.restricted_knn(e, q, allowed, 10).select("query_id", "score", "rank")
+    return select.restricted_knn(e, q, allowed, 10).select("query_id", "ref", "score", "rank")
 
 
 @query("""WITH d AS (SELECT doc_id AS ref, list_filter(string_split_regex(lower(text), '[^0-9a-z]+'), lambda x: x <> '') AS w FROM documents),
@@ -48,7 +48,8 @@ v AS (SELECT b.item_id AS query_id, e.vec_id AS ref, row_number() OVER (PARTITIO
 f AS (SELECT query_id, ref, sum(1.0 / (60 + rank)) + CASE WHEN query_id % 2 = 0 AND ref BETWEEN 1 AND 12 THEN 0.003 ELSE 0 END AS score FROM (SELECT * FROM k WHERE rank <= 20 UNION ALL SELECT * FROM v WHERE rank <= 20) GROUP BY 1, 2),
 o AS (SELECT query_id, ref, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ref) AS rank FROM f) SELECT query_id, ref, round(score, 8)::DOUBLE AS score, rank::INT AS rank FROM o WHERE rank <= 20""")
 def hybrid_rank(spark, sf):
-    index = retrieve.build_bm25(t(spark, sf, "documents"), "doc_id", "text", plain_tokens)
+    asked = retrieve.query_terms(t(spark, sf, "benchmark"), "item_id", "text", plain_tokens)
+    index = retrieve.build_bm25(t(spark, sf, "documents"), "doc_id", "text", plain_tokens, asked)
     e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("ref"), "embedding")
     q = t(spark, sf, "benchmark").join(e.withColumnRenamed("ref", "item_id"), "item_id").select(F.col("item_id").alias("query_id"), "text", "embedding", (F.col("item_id") % 2 == 0).alias("has_metrics"))
     return select.hybrid(index, e, q, None, 20, plain_tokens).select("query_id", "ref", F.round("score", 8).alias("score"), "rank")
@@ -111,7 +112,7 @@ def set_answers(spark, sf):
     return answer.answer_all(q, chosen, facts).select("id", F.round("value", 2).alias("value"))
 
 
-@query("SELECT count(*) AS entries, count(DISTINCT doc_id) AS docs, (SELECT count(DISTINCT s_nationkey) FROM supplier) AS tickers, (SELECT count(DISTINCT c_nationkey) FROM customer) AS raw_tickers, (SELECT count(*) FROM (SELECT s_nationkey FROM supplier INTERSECT SELECT c_nationkey FROM customer)) AS covered FROM (SELECT s_suppkey AS doc_id FROM supplier)")
+@query("SELECT *, covered >= 0.9 * raw_tickers AS ok FROM (SELECT count(*) AS entries, count(DISTINCT doc_id) AS docs, (SELECT count(DISTINCT s_nationkey) FROM supplier) AS tickers, (SELECT count(DISTINCT c_nationkey) FROM customer) AS raw_tickers, (SELECT count(*) FROM (SELECT s_nationkey FROM supplier INTERSECT SELECT c_nationkey FROM customer)) AS covered FROM (SELECT s_suppkey AS doc_id FROM supplier))")
 def corpus_state(spark, sf):
     m = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.col("s_nationkey").cast("string").alias("ticker"))
-    return submit.corpus_state(m, t(spark, sf, "customer").select(F.col("c_nationkey").cast("string").alias("ticker"))).drop("ok")
+    return submit.corpus_state(m, t(spark, sf, "customer").select(F.col("c_nationkey").cast("string").alias("ticker")))
