@@ -101,7 +101,7 @@ def restricted_knn(vectors: DataFrame, queries: DataFrame, allowed: DataFrame, k
     """query_id, ref, score, rank by inner product among the allowed (query_id, ref) pairs only: two equality joins, no Python."""
     pairs = allowed.select("query_id", "ref").distinct().join(queries.select("query_id", F.col("embedding").alias("q")), "query_id").join(vectors.select("ref", F.col("embedding").alias("v")), "ref")
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return retrieve.top_k(pairs.select("query_id", "ref", F.round(dot, 6).alias("score")), "query_id", k, F.col("score").desc(), F.col("ref"))
+    return retrieve.top_k(pairs.select("query_id", "ref", F.round(dot, 6).alias("score")).where("score is not null"), "query_id", k, F.col("score").desc(), F.col("ref"))
 
 
 def hybrid(index: dict[str, DataFrame], vectors: DataFrame | None, questions: DataFrame, allowed: DataFrame | None = None, k: int = CANDIDATES, tokens=retrieve.tokenize) -> DataFrame:

@@ -11,6 +11,7 @@ from ledgerspark.functions.terms import map_one
 from ledgerspark.functions.text import let, normalize_ws
 
 COLUMNS = ("ticker", "year", "period", "source_date", "section", "item", "item_code", "row_idx", "column_label", "metric", "value", "unit", "table_ref")
+SCHEMA = "year int, period string, source_date string, section string, item string, item_code string, row_idx int, column_label string, metric string, value double, unit string, table_ref string, ticker string"
 # Fixed values.
 ITEM_HINTS = ("chi tieu", "chỉ tiêu", "khoan muc", "khoản mục", "item", "noi dung")
 CODE_HINTS = ("ma so", "mã số", "code", "ma")

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from typing import BinaryIO
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.units import asked_unit, convert
 from ledgerspark.operators.evaluate import check_submission, integrity
-from ledgerspark.sources.corpus import csv_name, package
+from ledgerspark.sources.corpus import csv_name, package, write_package
+from ledgerspark.sources.paths import handle
 
 FALLBACK, PREFIX = 0.0, "data/"
 # Codes of banks and brokers, whose statements carry other magnitudes.
@@ -45,13 +48,30 @@ def build(questions: DataFrame, chosen: DataFrame, results: DataFrame, fallback:
     )
 
 
-def hand_in(items: DataFrame, files: dict[str, str], expected: DataFrame | None = None, strict: bool = True) -> bytes:
-    """The zip of answers and the files that they cite; with strict, a broken rule of level error raises. Answers are one row a question and reach the driver."""
+def refuse_broken(items: DataFrame, expected: DataFrame | None) -> None:
+    """Raises with the first broken rules of level error."""
     bad = check_submission(items, expected).where("level = 'error'").orderBy("id", "message").limit(20).collect()
-    if strict and bad:
+    if bad:
         raise ValueError("; ".join(f"{r['id']}: {r['message']}" for r in bad))
-    answers = [json.loads(r) for r in items.drop("csv_paths").orderBy("id").toJSON().collect()]
-    return package(answers, files)
+
+
+def answers_of(items: DataFrame) -> Iterator[dict]:
+    """The answers in order of id, a partition at a time."""
+    return (json.loads(r) for r in items.drop("csv_paths").orderBy("id").toJSON().toLocalIterator())
+
+
+def hand_in(items: DataFrame, files: dict[str, str], expected: DataFrame | None = None, strict: bool = True) -> bytes:
+    """The zip of answers and the files that they cite, in memory; with strict, a broken rule of level error raises."""
+    if strict:
+        refuse_broken(items, expected)
+    return package(list(answers_of(items)), files)
+
+
+def hand_in_to(out: BinaryIO, items: DataFrame, bodies: DataFrame, expected: DataFrame | None = None, strict: bool = True) -> None:
+    """hand_in() as a stream: bodies (csv_path, body) of the cited tables, in order of path; the driver holds a partition of either at most."""
+    if strict:
+        refuse_broken(items, expected)
+    write_package(out, answers_of(items), ((r["csv_path"], r["body"]) for r in bodies.select("csv_path", "body").orderBy("csv_path").toLocalIterator()))
 
 
 def check_index(manifest: DataFrame, index: dict[str, DataFrame], vectors: DataFrame | None, key: str = "table_ref") -> list[str]:
@@ -79,11 +99,20 @@ def corpus_state(manifest: DataFrame, raw: DataFrame, min_tickers: float = 0.9)
     return docs.crossJoin(both).withColumn("ok", F.col("covered") >= min_tickers * F.col("raw_tickers"))  # two rows of one row each
 
 
+def card_text() -> Column:
+    """What is indexed of a manifest row: its card, or what else tells of the table where it has none."""
+    rest = F.concat_ws(" ", "ticker", F.col("year").cast("string"), "section", "title", "unit", "table_ref")
+    return F.when(F.trim(F.coalesce("card", F.lit(""))) != "", F.col("card")).otherwise(rest)
+
+
 def save_index(index: dict[str, DataFrame], path: str) -> None:
-    """BM25 as Parquet: postings sorted by term, so that a query's terms prune row groups; terms beside them."""
+    """BM25 as Parquet: postings sorted by term, so that a query's terms prune row groups; terms and vectors, where there are any, beside them."""
     index["postings"].repartitionByRange("term").sortWithinPartitions("term", "ref").write.mode("overwrite").parquet(f"{path}/postings")
     index["terms"].repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    if "vectors" in index:
+        index["vectors"].write.mode("overwrite").parquet(f"{path}/vectors")
 
 
 def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms")}
+    fs, vectors = handle(spark, f"{path}/vectors")
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", *["vectors"] * fs.exists(vectors))}

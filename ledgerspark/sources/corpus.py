@@ -5,11 +5,16 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+from collections.abc import Iterable
+from typing import BinaryIO
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.periods import YEAR
+from ledgerspark.sources.paths import handle, settle, swap
+
+FILES_A_TICKER, ROWS_A_FILE = 16, 5_000_000
 
 # Parts of a report's name that tell its type, in order.
 REPORT_TYPES = (("congtyme", "separate"), ("riengle", "separate"), ("separate", "separate"), ("rieng", "separate"), ("hopnhat", "consolidated"), ("consolidated", "consolidated"))
@@ -80,8 +85,9 @@ def csv_name(doc_id: Column, position: Column) -> Column:
 
 
 def write_facts(facts: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Facts as Parquet by ticker: retrieval filters on it first, and the partition prunes."""
-    facts.repartition("ticker").write.mode(mode).partitionBy("ticker").parquet(path)
+    """Facts as Parquet by ticker: retrieval filters on it first, and the partition prunes. A company is dealt over FILES_A_TICKER tasks and its files are bounded."""
+    dealt = facts.repartition("ticker", F.pmod(F.xxhash64("table_ref"), F.lit(FILES_A_TICKER)))
+    dealt.write.mode(mode).option("maxRecordsPerFile", ROWS_A_FILE).partitionBy("ticker").parquet(path)
 
 
 def export_csv(facts: DataFrame, path: str) -> None:
@@ -97,21 +103,18 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_manifest(manifest: DataFrame, path: str, mode: str = "full") -> None:
-    """full replaces the manifest; upsert keeps what the new rows do not name. The new table is complete before the old one goes."""
+    """full replaces the manifest; upsert keeps what the new rows do not name. The new table is complete before it takes the old one's place."""
     from ledgerspark.operators.evaluate import upsert
 
     if mode not in ("full", "upsert"):
         raise ValueError(f"mode {mode!r} is neither full nor upsert")
     spark = manifest.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    here, fresh = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, path.rstrip("/") + ".new"))
-    fs = here.getFileSystem(conf)
+    settle(spark, path)
+    fs, here = handle(spark, path)
     if mode == "upsert" and fs.exists(here):
         manifest = upsert(spark.read.schema(manifest.schema).json(path), manifest)
-    manifest.write.mode("overwrite").json(fresh.toString())
-    fs.delete(here, True)
-    if not fs.rename(fresh, here):
-        raise OSError(f"could not put {fresh.toString()} in place of {path}")
+    manifest.write.mode("overwrite").json(path.rstrip("/") + ".new")
+    swap(spark, path)
 
 
 def remaining(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -119,11 +122,22 @@ def remaining(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return work.join(done.select(key).distinct(), key, "left_anti")
 
 
+def write_package(out: BinaryIO, answers: Iterable[dict], files: Iterable[tuple[str, str]]) -> None:
+    """A zip with one JSON and the files given, in their order and undated, so equal input gives equal bytes. One answer and one file are held at a time."""
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        with z.open(zipfile.ZipInfo("answers.json"), "w") as entry:
+            gap = b"[\n"
+            for a in answers:
+                entry.write(gap + json.dumps(a, ensure_ascii=False).encode())
+                gap = b",\n"
+            entry.write(b"[]" if gap == b"[\n" else b"\n]")
+        for name, body in files:
+            z.writestr(zipfile.ZipInfo(name), body)
+
+
 def package(answers: list[dict], files: dict[str, str]) -> bytes:
-    """A zip with one JSON and only the CSVs that answers cite, entries sorted and undated, so equal input gives equal bytes."""
+    """write_package() in memory: all answers, and of the files those that answers cite, sorted."""
     cited = sorted({e["csv_path"] for a in answers for e in a.get("evidence", [])} & files.keys())
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, body in [("answers.json", json.dumps(answers, ensure_ascii=False, indent=1)), *((p, files[p]) for p in cited)]:
-            z.writestr(zipfile.ZipInfo(name), body)
+    write_package(out, answers, ((p, files[p]) for p in cited))
     return out.getvalue()

@@ -10,16 +10,12 @@ from pyspark.sql import functions as F
 
 from ledgerspark.plans.cards import first_distinct
 from ledgerspark.sources.corpus import csv_name, report_type_of, year_of
+from ledgerspark.sources.paths import Output, handle, settle, swap
 
 CARD_ITEMS, CARD_COLUMNS = 15, 8
 FIRST_WAIT, LONGEST_WAIT, TRIES = 10.0, 300.0, 8
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A JSON array or object a file."""
     r = spark.read.option("multiLine", True)
@@ -39,30 +35,17 @@ def read_csv(spark: SparkSession, path: str, rows: int | None = None, schema: st
 
 
 def write_text_atomic(spark: SparkSession, text: str, path: str) -> None:
-    """A small file that is there in full or not at all: written beside its place, then renamed."""
-    fs, target = _fs(spark, path)
-    _, fresh = _fs(spark, f"{path}.new")
-    out = fs.create(fresh, True)
-    try:
-        out.write(bytearray(text.encode()))
-        out.hflush()
-    finally:
-        out.close()
-    fs.delete(target, False)
-    if not fs.rename(fresh, target):
-        raise OSError(f"could not put {path}.new in place of {path}")
+    """A small file that is there in full, as it was or as it is to be: written beside its place, then renamed over it."""
+    with Output(spark, path) as out:
+        out.write(text.encode())
 
 
 def write_jsonl(df: DataFrame, path: str) -> int:
-    """A folder of JSON lines, complete before the old one goes; the number of rows, counted while writing."""
-    spark = df.sparkSession
-    fs, target = _fs(spark, path)
-    _, fresh = _fs(spark, f"{path.rstrip('/')}.new")
+    """A folder of JSON lines, complete before it takes the old one's place; the number of rows, counted while writing."""
+    settle(df.sparkSession, path)
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(fresh.toString())
-    fs.delete(target, True)
-    if not fs.rename(fresh, target):
-        raise OSError(f"could not put {fresh.toString()} in place of {path}")
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(f"{path.rstrip('/')}.new")
+    swap(df.sparkSession, path)
     return seen.get["n"]
 
 
@@ -80,7 +63,7 @@ def resolve_local(spark: SparkSession, path: str, roots: list[str]) -> str | Non
     """The first of path itself and its file name under each root that exists."""
     name = path.replace("\\", "/").rsplit("/", 1)[-1]
     for candidate in [path, *(f"{r.rstrip('/')}/{name}" for r in roots)]:
-        fs, p = _fs(spark, candidate)
+        fs, p = handle(spark, candidate)
         if fs.exists(p):
             return candidate
     return None
@@ -118,8 +101,8 @@ def with_retries(act: Callable[[], object], tries: int = TRIES, wait: Callable[[
 
 def fetch(spark: SparkSession, source: str, target: str) -> None:
     """Copies a tree between any two file systems that Hadoop knows, with retries."""
-    from_fs, from_path = _fs(spark, source)
-    to_fs, to_path = _fs(spark, target)
+    from_fs, from_path = handle(spark, source)
+    to_fs, to_path = handle(spark, target)
     util, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil, spark.sparkContext._jsc.hadoopConfiguration()
 
     def copy() -> None:

@@ -86,3 +86,55 @@ def test_end_to_end(spark, tmp_path):
     found = stages.run_eval(spark, out, str(tmp_path / "gold.json"))
     assert found["metrics"]["n"] == 2 and found["metrics"]["answer_accuracy"] == 0.5 and found["funnel"]["executed"] == 2
     assert spark.read.parquet(f"{out}/facts").select(F.count_distinct("ticker")).first()[0] == 3
+
+
+def test_a_run_that_stops_before_its_manifest_loses_and_doubles_nothing(spark, tmp_path, monkeypatch):
+    raw, out = tmp_path / "raw", str(tmp_path / "out")
+
+    def add(t):
+        (raw / t / "2020").mkdir(parents=True)
+        (raw / t / "2020" / f"{t}_2020_Hopnhat.txt").write_text(report(t, 2020, 1))
+
+    refs = lambda: sorted(r["table_ref"] for r in stages._facts(spark, out).select("table_ref").distinct().collect())
+    add("AAA")
+    stages.run_corpus(spark, str(raw), out)
+    n = stages._facts(spark, out).count()
+    add("BBB")
+    write = stages.corpus.write_manifest
+    monkeypatch.setattr(stages.corpus, "write_manifest", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+    with pytest.raises(OSError):
+        stages.run_corpus(spark, str(raw), out)
+    assert refs() == ["AAA_2020_Hopnhat|1", "AAA_2020_Hopnhat|2"]
+    monkeypatch.setattr(stages.corpus, "write_manifest", write)
+    stages.run_corpus(spark, str(raw), out)
+    assert len(refs()) == 4 and stages._facts(spark, out).count() == 2 * n
+    # killed between the two renames of the manifest: the new one is complete and takes its place
+    import os
+
+    os.rename(f"{out}/manifest", f"{out}/manifest.old")
+    spark.read.schema(stages.MANIFEST).json(f"{out}/manifest.old").where("doc_id like 'BBB%'").write.json(f"{out}/manifest.new")
+    assert stages._manifest(spark, out).count() == 2 and not os.path.exists(f"{out}/manifest.old")
+    # killed before the new one was complete: the old one comes back
+    os.rename(f"{out}/manifest", f"{out}/manifest.old")
+    os.makedirs(f"{out}/manifest.new")
+    assert stages._manifest(spark, out).count() == 2 and refs() == ["BBB_2020_Hopnhat|1", "BBB_2020_Hopnhat|2"]
+    stages.run_corpus(spark, str(raw), out, resume=False)
+    assert len(refs()) == 4 and len(stages._batches_on_disk(spark, out)) == 1
+
+
+def test_a_corpus_without_tables(spark, tmp_path):
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "AAA_2020.txt").write_text("no table")
+    stages.run_corpus(spark, str(tmp_path / "raw"), str(tmp_path / "out"))
+    assert stages._facts(spark, str(tmp_path / "out")).count() == 0 and stages._manifest(spark, str(tmp_path / "out")).count() == 0
+
+
+def test_a_failed_write_keeps_the_old_file(spark, tmp_path):
+    from ledgerspark.sources.paths import Output
+
+    path = str(tmp_path / "a.txt")
+    files.write_text_atomic(spark, "old", path)
+    with pytest.raises(ValueError), Output(spark, path) as out:
+        out.write(b"ne")
+        raise ValueError
+    assert open(path).read() == "old"
