@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import numbers, periods, terms, text, units
@@ -140,15 +140,6 @@ def rowspan_roundtrip(spark, sf):
     return numbers.with_number(cells, "value", F.col("cell")).drop("cell")
 
 
-@query("""WITH a AS (SELECT user_id, event_id, ts, event_type, lag(event_type) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-b AS (SELECT *, sum(CASE WHEN p = event_type THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM a)
-SELECT user_id, island::BIGINT AS island, any_value(event_type) AS event_type, count(*) AS n FROM b GROUP BY user_id, island""")
-def stitch_groups(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = t(spark, sf, "events").withColumn("_b", F.when(F.lag("event_type").over(w) == F.col("event_type"), 0).otherwise(1))
-    return e.withColumn("island", F.sum("_b").over(w)).groupBy("user_id", "island").agg(F.first("event_type").alias("event_type"), F.count("*").alias("n"))
-
-
 @query("""WITH m AS (SELECT user_id, ts, max(event_id) AS mark FROM events WHERE event_type = 'view' GROUP BY ALL)
 SELECT e.event_id, m.mark FROM events AS e ASOF LEFT JOIN m ON e.user_id = m.user_id AND e.ts >= m.ts WHERE e.event_type <> 'view'""")
 def page_asof(spark, sf):
@@ -170,13 +161,6 @@ def term_tagging(spark, sf):
     return t(spark, sf, "part").select("p_partkey", terms.map_one(item).alias("metric"), F.size(terms.metrics(item)).alias("n"))
 
 
-@query("""WITH w AS (SELECT p_partkey AS code, list_filter(string_split_regex(lower(p_name), '[^0-9a-z]+'), lambda x: x <> '') AS w FROM part),
-g AS (SELECT DISTINCT code, array_to_string(list_slice(w, -n, -1), ' ') AS alias FROM w, (SELECT unnest([2, 3, 4]) AS n) WHERE len(w) >= n)
-SELECT alias, min(code) AS code FROM g WHERE length(alias) >= 6 GROUP BY alias HAVING count(DISTINCT code) = 1""")
-def alias_unique_suffix(spark, sf):
-    return retrieve.unique_aliases(t(spark, sf, "part"), "p_partkey", "p_name")
-
-
 _RATIO = "SELECT year(l_shipdate)::INT AS year, sum((l_extendedprice * 100)::BIGINT) / 100.0 AS a, sum(l_quantity) AS b FROM lineitem GROUP BY 1"
 
 
@@ -218,8 +202,8 @@ def manifest_upsert(spark, sf):
     return evaluate.upsert(old, t(spark, sf, "labels").select("doc_id", F.lit("new").alias("state")), "doc_id")
 
 
-@query("""SELECT count(*) AS entries, (SELECT count(DISTINCT doc_id) FROM labels) AS files, count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS missing,
-(SELECT count(DISTINCT doc_id) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS orphans, 0::BIGINT AS repeated, false AS ok FROM documents""")
+@query("""SELECT *, missing = 0 AND repeated = 0 AND orphans <= 0.05 * files AS ok FROM (SELECT count(*) AS entries, (SELECT count(DISTINCT doc_id) FROM labels) AS files, count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS missing,
+(SELECT count(DISTINCT doc_id) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS orphans, (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1)) AS repeated FROM documents)""")
 def orphan_missing(spark, sf):
     return evaluate.integrity(t(spark, sf, "documents"), t(spark, sf, "labels"), "doc_id")
 
@@ -283,17 +267,6 @@ def submission_rules(spark, sf):
     return evaluate.check_submission(items).groupBy("level", "message").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|head)[^>]*>.*?</(script|style|head)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages""")
-def page_text_extract(spark, sf):
-    bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style|head)[^>]*>.*?</(script|style|head)>", " "), "<[^>]+>", " ")
-    return t(spark, sf, "pages").select("page_id", F.trim(F.regexp_replace(bare, r"\s+", " ")).alias("text"))
-
-
-@query("SELECT page_id, len(regexp_extract_all(html, '(?i)<li[\\s>]')) AS n_items, 0::INT AS n_tables FROM pages")
-def html_list_tables(spark, sf):
-    return t(spark, sf, "pages").select("page_id", F.regexp_count("html", F.lit(r"(?i)<li[\s>]")).cast("long").alias("n_items"), extract.count_html_tables(F.col("html")).alias("n_tables"))
-
-
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN year(o_orderdate) WHEN o_orderkey % 3 = 1 THEN year(o_orderdate) - 1 ELSE year(o_orderdate) END::INT AS year, CASE o_orderkey % 3 WHEN 0 THEN 'closing' WHEN 1 THEN 'opening' ELSE 'annual' END AS period FROM orders")
 def column_periods(spark, sf):
     y = F.year("o_orderdate")
@@ -306,12 +279,10 @@ def event_windows(spark, sf):
     return incremental.windowed_counts(t(spark, sf, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query()
-def table_cards(spark, sf):
-    return cards.cards(order_facts(spark, sf))
-
-
-@query()
-def question_analysis(spark, sf):
-    q = t(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("Tổng tài sản của "), F.col("n_name"), F.lit(" (VNM) cuối năm 2020 là bao nhiêu tỷ đồng?")).alias("question"))
-    return retrieve.analyze(q, ["VNM"])
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4)::DOUBLE AS total FROM events GROUP BY ALL")
+def event_windows_stream(spark, sf):
+    """The same windows over a stream of the table's files, run to its end."""
+    path = f"{synth.scratch(spark, 'stream')}/windows"
+    events = incremental.table_stream(spark, f"{sf}/events.parquet")
+    incremental.run(incremental.windowed_counts(events), f"{path}.checkpoint", lambda rows, _: rows.write.mode("overwrite").parquet(path), "complete").awaitTermination()
+    return spark.read.parquet(path).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

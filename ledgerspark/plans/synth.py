@@ -1,10 +1,15 @@
-"""Reports rendered from orders, so that extraction can be held against plain aggregates."""
+"""Reports rendered from orders, so that extraction can be held against plain aggregates, and small files to read back."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerspark.sources.paths import Output, handle
+
 
 def grouped(whole: Column) -> Column:
     """A whole number as 1.234.567."""
@@ -35,3 +40,27 @@ def reports(orders: DataFrame) -> DataFrame:
         F.lit("===== PAGE 7 =====\nCông ty ABC\nBÁO CÁO KẾT QUẢ HOẠT ĐỘNG KINH DOANH\nĐơn vị tính: đồng\n<table><tr><th>Chỉ tiêu</th><th>31/12/"), y, F.lit("</th><th>01/01/"), y, F.lit("</th></tr>"), F.col("rows"), F.lit("</table>\n")
     )
     return rows.select(F.concat(F.lit("ABC_"), y).alias("doc_id"), text.alias("text"), F.col("year").alias("fallback_year"))
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder that goes with the application: in spark.checkpoint.dir, or on a local master without it in the temporary folder."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.gettempdir()
+    path = f"{base.rstrip('/')}/{sc.applicationId}-{label}-{uuid.uuid4().hex[:12]}"
+    fs, p = handle(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
+def put_files(spark: SparkSession, label: str, bodies: dict[str, bytes]) -> str:
+    """A scratch folder with these small files; its path."""
+    root = scratch(spark, label)
+    for name, body in bodies.items():
+        with Output(spark, f"{root}/{name}") as out:
+            out.write(body)
+    return root

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerspark.sources.corpus import doc_id_of, report_type_of, text_of, ticker_of, year_of
+from ledgerspark.sources.paths import handle
 
 
 def new_reports(spark: SparkSession, root: str) -> DataFrame:
@@ -18,13 +19,22 @@ def new_reports(spark: SparkSession, root: str) -> DataFrame:
     return docs.withColumns({"ticker": ticker_of(F.col("path"), F.col("doc_id")), "year": year_of(F.col("path"), F.col("doc_id")), "report_type": report_type_of(F.col("doc_id"))})
 
 
-def run(stream: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None]) -> StreamingQuery:
+def table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of the rows of a Parquet file or folder."""
+    fs, p = handle(spark, path)
+    schema = spark.read.parquet(path).schema
+    if fs.getFileStatus(p).isDirectory():
+        return spark.readStream.schema(schema).parquet(path)
+    return spark.readStream.schema(schema).option("pathGlobFilter", p.getName()).parquet(p.getParent().toString())
+
+
+def run(stream: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
     """Whatever is new since the checkpoint, then stop; a batch that failed is given again, so batch must upsert."""
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "1 day") -> DataFrame:
-    """Counts and sums by event type and tumbling window; on a stream the watermark bounds the state."""
+    """Counts and sums by event type and tumbling window; on a stream the watermark bounds the state, and times without a zone are read in the session's."""
     if events.isStreaming:
-        events = events.withWatermark("ts", late)
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return events.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")

@@ -58,7 +58,7 @@ if __name__ == "__main__":
     spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
     con, runs, sqls = duck(sf), e.queries(), e.oracle_sql()
-    for name in sys.argv[2:] or [n for n in runs if not n.startswith("op") and n != "pipeline"] + ["op3_line_windows"]:
+    for name in sys.argv[2:] or [n for n in runs if not n.startswith("op") and n != "pipeline"] + [n for n in sqls if n.startswith("op")]:
         began = time.time()
         try:
             said = differences(spark, con, sf, runs[name], sqls[name]) if name in sqls else f"{runs[name](spark, sf).count()} rows, no SQL"
