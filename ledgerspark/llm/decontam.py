@@ -41,7 +41,7 @@ MAX_ITEM_TOKENS = 2_000_000
 #: Punctuation outside ASCII that parts words, as ASCII punctuation does.
 _WIDE = re.compile("[\u00a0-\u00bf\u2000-\u206f\u3000-\u303f]")
 _TO_SPACE = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
-_AT_ONCE, _REMEMBERED = 1 << 17, 1 << 20
+_AT_ONCE, _REMEMBERED = 1 << 17, 1 << 16
 _PRIME, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -362,5 +362,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **index
     index = Index(benchmark.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), "id", "text", **index_options)
     if index.bitmap is None:
         return docs
-    bad = alignments(docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), index, "id", "text").select(F.col("digest").alias("_ls_digest")).distinct()
+    # written, so that its size is known before the join is planned: texts are shuffled only where it is too large to broadcast
+    bad = written(alignments(docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), index, "id", "text").select(F.col("digest").alias("_ls_digest")).distinct(), "leaks")
     return docs.join(bad, F.unhex(F.md5(F.col(text_col))) == F.col("_ls_digest"), "left_anti")
