@@ -496,3 +496,51 @@ def whole_run(spark, sf):
     a = spark.read.parquet(f"{root}/answers")
     rows = a.select("id", F.round("answer", 2).alias("answer"), F.get("relevant_docs", F.lit(0)).alias("doc"), F.get("relevant_tables", F.lit(0)).alias("first_table"))
     return rows.join(entries, "doc").select("id", "answer", "doc", "first_table", F.lit(len({n.split("/")[0] for n in z.namelist()})).cast("long").alias("entries"), F.lit(len(docs)).cast("long").alias("reports"))
+
+
+@query(f"""WITH a AS ({_YEARS}), d AS (SELECT y AS d, unnest([y, y - 1]) AS y FROM a) SELECT 'ABC_' || d || '|1' AS table_ref, d.y::INT AS year, count(*) AS n, round(sum(cents / 100.0), 2)::DOUBLE AS total, CASE WHEN d % 2 = 0 THEN 1 ELSE 2 END::BIGINT AS batch
+FROM d JOIN (SELECT year(o_orderdate)::INT AS y, o_orderpriority AS p, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS cents FROM orders GROUP BY 1, 2) AS v ON v.y = d.y GROUP BY d.d, d.y""")
+def resumed_corpus(spark, sf):
+    """Reports of even years first, then those of odd years beside them: the second run reads the new ones alone and adds its batch."""
+    docs = synth.reports(t(spark, sf, "orders")).collect()
+    body = lambda even: {f"ABC/{r['fallback_year']}/{r['doc_id']}.txt": r["text"].encode() for r in docs if (r["fallback_year"] % 2 == 0) == even}
+    raw, out = synth.put_files(spark, "raw", body(True)), synth.scratch(spark, "resumed")
+    stages.run_corpus(spark, raw, out)
+    for name, text_ in body(False).items():
+        with Output(spark, f"{raw}/{name}") as f:
+            f.write(text_)
+    stages.run_corpus(spark, raw, out)
+    batch = spark.read.schema(stages.MANIFEST).json(f"{out}/manifest").select("table_ref", "batch")
+    facts = stages._facts(spark, out).groupBy("table_ref", "year").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return facts.join(batch, "table_ref").select("table_ref", "year", "n", "total", "batch")
+
+
+@query("SELECT n_nationkey::BIGINT AS id, n_name AS body, n_nationkey % 2 = 0 AS found FROM nation")
+def fetched_files(spark, sf):
+    """A tree copied to another place, its files found by name under the roots given."""
+    rows = t(spark, sf, "nation").select("n_nationkey", "n_name").collect()
+    source, target = synth.put_files(spark, "far", {f"{k % 3}/{k}.txt": name.encode() for k, name in rows}), f"{synth.scratch(spark, 'near')}/copy"
+    files.fetch(spark, source, target)
+    got = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(target).select("value", F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)\.txt$", 1).cast("long").alias("id"))
+    found = spark.createDataFrame([(k, files.resolve_local(spark, f"x/{k}.txt" if k % 2 == 0 else f"x/{k}.csv", [f"{target}/{i}" for i in range(3)]) is not None) for k, _ in rows], "id long, found boolean")
+    return got.join(found, "id").select("id", F.col("value").alias("body"), "found")
+
+
+@query("SELECT * FROM (SELECT n_nationkey::BIGINT AS id, CASE n_nationkey % 4 WHEN 0 THEN '16' WHEN 1 THEN '7' WHEN 2 THEN '[1, 2]' ELSE 'none' END AS value FROM nation)")
+def layered_settings(spark, sf):
+    """Built-in values, a file over them, the environment over that, by dotted names."""
+    import json
+
+    from ledgerspark.config import Settings
+
+    root = synth.scratch(spark, "settings")
+    files.write_text_atomic(spark, json.dumps({"execution": {"timeout_sec": 5}}), f"{root}/s.json")
+    held = files.read_json(spark, f"{root}/s.json").toJSON().first()
+    import tempfile
+
+    with tempfile.NamedTemporaryFile("w", suffix=".json") as f:  # settings are read by the driver alone
+        f.write(held)
+        f.flush()
+        s = Settings(f.name, {"LEDGERSPARK_EXECUTION__TIMEOUT_SEC": "7", "LEDGERSPARK_A__B": "[1, 2]"})
+    names = ("retrieval.selector.max_tables", "execution.timeout_sec", "a.b", "a.c.d")
+    return t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), among(tuple(str(s.get(n, "none")) for n in names), F.col("n_nationkey")).alias("value"))
