@@ -38,6 +38,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     with no lines; an empty text has one. Rows that repeat an id are told apart
     by their text; wholly equal rows share one place, so none is emptied by its
     own twin. Other columns are not read; an empty table gives an empty result.
+    Windows count as equal where two 64-bit hashes of their lines' hashes are;
+    the lines themselves are not compared again.
 
     Windows are counted by aggregation, so a window that a third of the
     documents hold is combined before the shuffle; the join back has one row a
