@@ -87,7 +87,7 @@ def _tilt(cells: DataFrame, goal: DataFrame, most: int) -> DataFrame:
     else:
         raise RuntimeError(f"source {open_[0]['source']!r} is not at its target after {NEWTON_ROUNDS} rounds")
     full = F.col("target") >= most * F.col("source_size") * (1 - 1e-12)
-    rate = F.when(F.col("target") <= 0, F.when(F.col("size") > 0, 0.0).otherwise(1.0)).when(full, F.lit(float(most))).otherwise(F.least(F.exp(F.least(F.col("tilt") * x, F.lit(50.0))), F.lit(float(most))))
+    rate = F.when(F.col("size") == 0, 1.0).when(F.col("target") <= 0, 0.0).when(full, F.lit(float(most))).otherwise(F.least(F.exp(F.least(F.col("tilt") * x, F.lit(50.0))), F.lit(float(most))))
     return cells.join(state.select("key", "target", "tilt", "source_size", "mean"), "key").select("key", "size", "n", F.round(rate, 9).alias("rate"))
 
 

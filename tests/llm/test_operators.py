@@ -576,6 +576,15 @@ def test_words_beyond_the_memory():
         assert whole.encode(t).tobytes() == small.encode(t).tobytes() == want
 
 
+def test_words_are_encoded_as_whole_texts_are():
+    rng = np.random.default_rng(11)
+    encoder = token_files.WordEncoder(queries.tokenizer_path())
+    bits = ["a", "Ab", "é", "É", "ß", "İ", "ı", "'s", "'", "don't", "...", "!?", "1", "12,5", "<|endoftext|>", "<|", "|>", "\x1c", "\x85", "\u00a0", "\u200d", "\u0301", "漢", "字", "𝒳", "ﬁ", "Ω", "_", "-", "\t", "\r", "\n", "\n\n", " ", "  ", "\ufeff", "\x00", "ñ", "Å", "ǆ"]
+    for _ in range(4000):
+        t = "".join(bits[i] for i in rng.integers(0, len(bits), int(rng.integers(0, 14))))
+        assert encoder.encode(t).tobytes() == encoder._whole([t])[0], repr(t)
+
+
 def test_token_files_on_awkward_rows(awkward):
     got = rows(token_files.encode_and_read(awkward, queries.tokenizer_path()))
     assert len(got) == len(AWKWARD) and {r["doc_id"]: r["n_tokens"] for r in got}[2] == 1
@@ -721,6 +730,23 @@ def test_pipeline_stages_against_brute_force(spark, sf, tmp_path):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_pipeline_stages_on_awkward_rows(spark, sf, awkward):
+    """Each stage on nulls, empty and very long texts, repeated rows and clashing columns, and on no rows."""
+    import corpus_pipeline as pipeline
+
+    kept = {}
+    for name, stage in pipeline.STAGES:
+        made = stage(spark, awkward, sf)
+        kept[name] = Counter((r["doc_id"], r["text"]) for r in made.collect()) if name != "tokenize" else Counter(r["doc_id"] for r in made.collect())
+        assert stage(spark, awkward.limit(0), sf).count() == 0
+        assert name == "tokenize" or made.columns == awkward.columns
+    every = Counter((i, t) for i, t, _ in AWKWARD)
+    assert kept["decontaminate"] == every and kept["tokenize"] == Counter(i for i, _, _ in AWKWARD)
+    assert not kept["quality"] - every and len({kept["quality"][k] for k in every if not k[1]}) == 1  # null and empty texts share a score
+    assert kept["near_dedup"][7, AWKWARD[6][1]] == 1 and kept["near_dedup"][8, AWKWARD[6][1]] == 0 and kept["near_dedup"][None, None] == 1
+    assert all(n <= 2 * every[k] for k, n in kept["mix"].items()) and kept["mix"][1, None] == kept["mix"][2, ""] == 1
+
+
 def test_line_dedup_sql_agrees(spark, sf):
     import duckdb
 
