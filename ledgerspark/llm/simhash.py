@@ -187,7 +187,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id, signed fp, tie (a hash of the text).
+    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id, signed fp, tie (a hash of the text), root (a fingerprint that names the component).
 
     Null and empty texts have fingerprint zero and link like any other. Rows
     with a null id take part but name no component: component_id is the smallest
@@ -200,8 +200,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(links(reps.select("fp")))
     named = reps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = named.join(lowest, "root").select("fp", "component_id")
-    return base.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp", "tie")
+    of = named.join(lowest, "root").select("fp", "component_id", "root")
+    return base.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp", "tie", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,10 +214,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     table gives an empty one. What goes is named by (id, hash) in an anti join,
     so texts are shuffled only where that list is too large to broadcast.
     """
-    found = written(near_duplicates(docs, id_col, text_col).where("doc_id is not null").groupBy("doc_id", "tie").agg(F.first("component_id").alias("component_id"), F.count("*").alias("n")), "groups")
-    best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "tie")).alias("best"))
-    judged = found.join(best, "component_id").select(F.col("doc_id").alias("_ls_id"), F.col("tie").alias("_ls_tie"), (F.struct("doc_id", "tie") == F.col("best")).alias("_ls_best"), F.col("n").alias("_ls_n"))
-    judged = written(judged.where("not _ls_best or _ls_n > 1"), "judged")
+    found = written(near_duplicates(docs, id_col, text_col).where("doc_id is not null").groupBy("doc_id", "tie").agg(F.first("component_id").alias("component_id"), F.first("root").alias("root"), F.count("*").alias("n")), "groups")
+    # only rows of a group's smallest id can be its best, so no group is gathered; groups may share that id, not their root
+    heads = found.where(F.col("doc_id") == F.col("component_id")).withColumn("best", F.col("tie") == F.min("tie").over(Window.partitionBy("doc_id", "root")))
+    judged = found.where(F.col("doc_id") != F.col("component_id")).withColumn("best", F.lit(False)).unionByName(heads)
+    judged = written(judged.where("not best or n > 1").select(F.col("doc_id").alias("_ls_id"), F.col("tie").alias("_ls_tie"), F.col("best").alias("_ls_best")), "judged")
     on = lambda d: (d[id_col] == F.col("_ls_id")) & (F.xxhash64(d[text_col]) == F.col("_ls_tie"))
     alone = docs.join(judged.select("_ls_id", "_ls_tie"), on(docs), "left_anti")
     again = docs.join(judged.where("_ls_best").select("_ls_id", "_ls_tie"), on(docs), "left_semi")

@@ -321,8 +321,11 @@ def test_simhash_on_awkward_rows(spark, awkward):
 
 def test_keep_one_judges_texts_under_one_id_by_themselves(spark):
     a, b = "some words that stand here for the first text of all", "quite other words of the second text under the same id as before"
-    docs = spark.createDataFrame([(1, a), (2, b), (2, a), (2, a), (3, "a third one that no other text is near to, all alone"), (3, "a third one that no other text is near to, all alone")], "doc_id long, text string")
-    assert sorted(map(tuple, simhash.keep_one(docs).collect())) == [(1, a), (2, b), (3, "a third one that no other text is near to, all alone")]
+    c, d = "a third one that no other text is near to, all alone", "yet another text, the second one of its id, with words of its own"
+    docs = spark.createDataFrame([(1, a), (2, b), (2, a), (2, a), (3, c), (3, c), (4, d), (4, c), (5, d), (5, d + " and more said of that at some length so that it is no copy")], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(docs).collect())) == sorted([(1, a), (2, b), (3, c), (4, d), (5, docs.collect()[9]["text"])])
+    same = spark.createDataFrame([(1, a), (1, b), (1, c)], "doc_id long, text string")
+    assert simhash.keep_one(same).count() == 3
 
 
 def test_crowded_buckets_lose_no_link(spark, monkeypatch):
