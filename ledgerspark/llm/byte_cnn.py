@@ -6,9 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerspark.llm.common import written
+
 #: Bytes that a filter sees, and filters.
 WIDTH, FILTERS = 6, 24
 #: Positions of half a chunk: chunks are two halves long and start every half, so they overlap.
@@ -131,9 +133,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_ls_id")).agg(F.min(label_col).alias("_ls_y"))
     slim = docs.select(F.col(id_col).alias("_ls_id"), F.col(text_col).alias("_ls_text")).where(F.octet_length("_ls_text") <= MAX_ROW_BYTES).withColumn("_ls_tie", F.xxhash64("_ls_text"))
     # ids first, so that the sort carries no texts; an id that documents repeat has one text, whatever their number
-    ids = slim.select("_ls_id", "_ls_tie").join(known, "_ls_id").groupBy("_ls_y", "_ls_id").agg(F.min("_ls_tie").alias("_ls_tie"))
-    place = F.row_number().over(Window.partitionBy("_ls_y").orderBy(F.xxhash64("_ls_id"), "_ls_id"))
-    chosen = {(r["_ls_id"], r["_ls_tie"]): r["_ls_y"] for r in ids.withColumn("k", place).where(F.col("k") <= max_rows // 2).collect()}
+    ids = written(slim.select("_ls_id", "_ls_tie").join(known, "_ls_id").groupBy("_ls_y", "_ls_id").agg(F.min("_ls_tie").alias("_ls_tie")), "labelled")
+    first = [ids.where(F.col("_ls_y") == y).orderBy(F.xxhash64("_ls_id"), "_ls_id").limit(max_rows // 2) for y in (0, 1)]
+    chosen = {(r["_ls_id"], r["_ls_tie"]): r["_ls_y"] for f in first for r in f.collect()}
     asked = slim.where(F.col("_ls_id").isin([i for i, _ in chosen]) & F.col("_ls_tie").isin([t for _, t in chosen]))
     texts = asked.groupBy("_ls_id", "_ls_tie").agg(F.min("_ls_text").alias("_ls_text")).collect() if chosen else []
     rows = [(r["_ls_id"], chosen[r["_ls_id"], r["_ls_tie"]], r["_ls_text"]) for r in texts if (r["_ls_id"], r["_ls_tie"]) in chosen]
