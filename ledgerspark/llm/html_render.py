@@ -12,27 +12,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset({
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
+})
 #: Elements whose content is text up to their own end tag.
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist title area map".split())
-BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup "
-    "hr html legend li listing main menu nav ol optgroup option p plaintext pre search section summary table tbody td tfoot th thead tr ul xmp".split()
-)
+RAW = frozenset({"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"})
+HIDDEN = frozenset({
+    "head", "script", "style", "template", "noscript", "iframe", "noembed", "noframes", "object", "audio", "video", "canvas", "datalist", "title",
+    "area", "map",
+})
+BLOCK = frozenset({
+    "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
+    "figcaption", "figure", "footer", "form", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li",
+    "listing", "main", "menu", "nav", "ol", "optgroup", "option", "p", "plaintext", "pre", "search", "section", "summary", "table", "tbody", "td",
+    "tfoot", "th", "thead", "tr", "ul", "xmp",
+})
 #: Blocks with an empty line before and after.
-SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr listing ol p pre table ul menu dir plaintext xmp".split())
-PRE = frozenset("pre textarea listing plaintext xmp".split())
+SPACED = frozenset({
+    "blockquote", "dl", "fieldset", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "listing", "ol", "p", "pre", "table", "ul", "menu", "dir",
+    "plaintext", "xmp",
+})
+PRE = frozenset({"pre", "textarea", "listing", "plaintext", "xmp"})
 #: Start tags that end an open p.
-ENDS_P = BLOCK - frozenset("body caption dd dt html li legend optgroup option summary tbody td tfoot th thead tr".split())
+ENDS_P = BLOCK - frozenset({
+    "body", "caption", "dd", "dt", "html", "li", "legend", "optgroup", "option", "summary", "tbody", "td", "tfoot", "th", "thead", "tr",
+})
 #: A start tag ends the nearest open one of these, unless one of the others stands between.
 IMPLIED = {
-    "li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"),
-    "option": ("option", "select datalist"), "optgroup": ("optgroup option", "select datalist"),
-    "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"),
-    "tbody": ("tbody thead tfoot", "table"), "thead": ("tbody thead tfoot", "table"), "tfoot": ("tbody thead tfoot", "table"), "caption": ("caption", "table"),
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "option": ({"option"}, {"select", "datalist"}),
+    "optgroup": ({"optgroup", "option"}, {"select", "datalist"}),
+    "tr": ({"tr", "td", "th"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+    "tbody": ({"tbody", "thead", "tfoot"}, {"table"}),
+    "thead": ({"tbody", "thead", "tfoot"}, {"table"}),
+    "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}),
+    "caption": ({"caption"}, {"table"}),
 }
-IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED.items()}
 #: Deeper elements become siblings of those at this depth; their text stays.
 MAX_DEPTH = 120
 
