@@ -15,7 +15,7 @@ import os
 import string
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -67,6 +67,17 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+class _Known(dict):
+    """Word -> ids as bytes; a word that is not there is learned."""
+
+    def __init__(self, learned: Callable[[str], bytes]):
+        super().__init__()
+        self.learned = learned
+
+    def __missing__(self, w: str) -> bytes:
+        return self.learned(w)
+
+
 class WordEncoder:
     """Encodes texts with a tokenizers file, word by word with a bounded memory of words.
 
@@ -80,7 +91,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.known = _Known(self.learned)
+        self.known[""] = b""
         self.cache_words = cache_words
         probe = "Zürich ÇA straße Ñandú İz ÿ It's a  Test,of \n\n don't <|endoftext|> x<|endoftext|>y 12,5 É.\t é ... , \x1c a\x85b"
         self.ends: dict[str, bytes] = {}
@@ -94,33 +106,29 @@ class WordEncoder:
         self.by_word = self._whole([probe])[0] == b"".join(self._whole(words)) and self._whole(letters) == [self._letters(w) for w in letters]
         if self.by_word:
             marked = ["Ab,", "ab.,", "a'", "b-'s", "É!!", "c###", "d<|", "e'.", "f_"]
-            self._learn(set(marked))
             self.by_word = self._whole(marked) == [self.known[w] for w in marked]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
-        """New words: letters alone go to the tokenizer's model, ASCII marks after letters are a word of their own, anything else goes through all of the library."""
-        known, ends = self.known, self.ends
-        if len(known) + len(words) > self.cache_words:
-            known.clear()
-            ends.clear()
-            known[""] = b""
-        rest = []
-        for w in words:
-            head = w.rstrip(_MARKS)
-            if not self._plain(head):
-                rest.append(w)
-                continue
+    def learned(self, w: str) -> bytes:
+        """A new word's ids: letters alone go to the tokenizer's model, ASCII marks after letters are a word of their own, anything else goes through all of the library."""
+        if len(self.known) >= self.cache_words:
+            self.known.clear()
+            self.ends.clear()
+            self.known[""] = b""
+        head = w.rstrip(_MARKS)
+        if not self._plain(head):
+            ids = self._whole([w])[0]
+        else:
             ids = self._letters(head)
             if len(head) < len(w):
                 tail = w[len(head) :]
-                if tail not in ends:
-                    ends[tail] = self._whole([tail])[0]
-                ids += ends[tail]
-            known[w] = ids
-        known.update(zip(rest, self._whole(rest), strict=True))
+                if (end := self.ends.get(tail)) is None:
+                    end = self.ends[tail] = self._whole([tail])[0]
+                ids += end
+        self.known[w] = ids
+        return ids
 
     def _plain(self, w: str) -> bool:
         return self.by_word and w.isalpha() and (w.isascii() or (max(w) < "\u0250" and w.lower().isalpha()))
@@ -128,7 +136,8 @@ class WordEncoder:
     def _letters(self, w: str) -> bytes:
         """A run of Latin letters is one word to the model: lower-cased, its bytes as the model's characters."""
         low = w.lower()
-        if (ids := self.known.get(low)) is None:
+        ids = self.known.get(low)  # a look that learns nothing
+        if ids is None:
             spelled = low if low.isascii() else "".join(map(self.byte_names.__getitem__, low.encode()))
             ids = self.known[low] = array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
         return ids
@@ -138,15 +147,7 @@ class WordEncoder:
         if not self.by_word:
             return np.frombuffer(self._whole([t])[0], "<u4")
         words = (t.lower() if _simple(t) else t).replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
-        except KeyError:
-            self._learn({w for w in words if w not in known})
-        try:
-            return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
-        except KeyError:  # the memory was emptied for the new words
-            return np.frombuffer(self._whole([t])[0], "<u4")
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
 
 
 def _simple(t: str) -> bool:
