@@ -76,7 +76,17 @@ def run_index(spark: SparkSession, out: str) -> None:
 
 
 def run_infer(spark: SparkSession, out: str, questions: str, companies: str | None = None, limit: int | None = None, config: Settings | None = None) -> None:
-    """Questions -> answers.parquet: analysis, filters, ranking, choice, values and units, as one plan. Ids already answered are passed over."""
+    """Questions -> answers.parquet: analysis, filters, ranking, choice, values and units. Ids already answered are passed over.
+
+    What several steps read (analysed questions, query vectors, candidates, the
+    choice) is written below out/infer.part once, and goes when the answers are there.
+    """
+    part = f"{out}/infer.part"
+
+    def once(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{part}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{part}/{name}")
+
     s = config or settings()
     k, low, high, ratio = (s.get(f"retrieval.{n}") for n in ("candidate_top_k", "selector.min_tables", "selector.max_tables", "selector.score_ratio"))
     asked = corpus.read_questions(spark, questions).select(F.col("id").cast("long").alias("id"), "question")
@@ -91,20 +101,23 @@ def run_infer(spark: SparkSession, out: str, questions: str, companies: str | No
         keys = select.company_keys(corpus.read_companies(spark, companies))
         named = select.resolve_companies(asked, keys).withColumnRenamed("codes", "_codes")
         q = q.join(named, "id", "left").withColumn("tickers", F.array_distinct(F.concat(F.coalesce("_codes", F.array().cast("array<string>")), "tickers"))).drop("_codes")
-    allowed = ladder(q, manifest, s.get("retrieval.year_tolerance"))
+    q = once(q, "questions")
+    allowed = once(ladder(q, manifest, s.get("retrieval.year_tolerance")), "allowed")
     text = retrieve.expand_query(F.col("question"), F.col("metrics"), F.col("tickers"), F.col("years"))
     index = submit.load_index(spark, f"{out}/index")
     searched = q.select(F.col("id").alias("query_id"), text.alias("text"), (F.size("metrics") > 0).alias("has_metrics"))
     vectors = retrieve.hashed_vectors(searched, "query_id", "text", index["terms"]).withColumnRenamed("ref", "query_id")
-    ranked = select.hybrid(index, index["vectors"], searched.join(vectors, "query_id"), allowed, k)
+    ranked = once(select.hybrid(index, index["vectors"], once(searched.join(vectors, "query_id"), "searched"), allowed, k), "ranked")
     pool = ranked.select(F.col("query_id").alias("question_id"), F.col("ref").alias("table_ref"), "score")
     facts = _facts(spark, out)
     content = manifest.select("table_ref", F.col("card").alias("content"), "section")
     by_id = q.withColumnRenamed("id", "question_id")
     placed = select.by_content(pool, by_id, content).join(manifest.select("table_ref", "doc_id", "section", "card"), "table_ref")
-    chosen = select.choose(placed, by_id, low, high, ratio, k)
+    chosen = once(select.choose(placed, by_id, low, high, ratio, k), "chosen")
     values = answer.answer_all(q, chosen, facts)
-    submit.build(asked, chosen, values, s.get("submission.fallback_answer")).write.mode("append").parquet(done)
+    submit.build(q, chosen, values, s.get("submission.fallback_answer")).write.mode("append").parquet(done)
+    fs, p = handle(spark, part)
+    fs.delete(p, True)
 
 
 def ladder(q: DataFrame, manifest: DataFrame, tolerance: int = 2) -> DataFrame:
