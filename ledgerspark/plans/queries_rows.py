@@ -5,10 +5,10 @@ from __future__ import annotations
 import io
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.functions import numbers, periods, terms, text, units
+from ledgerspark.functions import numbers, periods, text, units
 from ledgerspark.operators import evaluate, extract, retrieve, select, standardize
 from ledgerspark.plans import answer, cards, context, sandbox, stages, submit, synth
 from ledgerspark.plans.queries import plain_tokens, query, t
