@@ -1,6 +1,6 @@
 import pytest
 
-from ledgerspark.plans import queries, queries_selection  # noqa: F401
+from ledgerspark.plans import queries, queries_questions, queries_rows, queries_selection  # noqa: F401
 
 from .compare import differences, duck
 
