@@ -294,6 +294,10 @@ def _verify(region: pd.Series, first: pd.Series, item: pd.Series, shift: pd.Seri
     return pd.DataFrame(made, columns=_VERIFIED.names).astype("Int64")
 
 
+#: Called once a row: a filter on a deterministic function's result would call it again, in workers of its own.
+_verify_once = _verify.asNondeterministic()
+
+
 def _met(left: DataFrame, right: DataFrame, key: str, small: bool, salt: str) -> DataFrame:
     """left joined to right by key: by a broadcast of a right side whose size was checked, else by a shuffle in which each key of left is dealt over SALTS tasks."""
     if small:
@@ -316,8 +320,9 @@ def alignments(docs: DataFrame, index: Index, id_col: str, text_col: str) -> Dat
     found = written(slim.mapInArrow(_doc_regions(index), schema).withColumn("region", F.monotonically_increasing_id()), "regions")
     hits = found.select("region", F.explode(F.arrays_zip("h", "p")).alias("s")).select("region", F.col("s.h").alias("h"), F.col("s.p").alias("p"))
     laid = _met(hits, index.seeds, "h", index.small_seeds, "region").select("region", "item", (F.col("p") - F.col("q")).alias("shift")).distinct()
-    texts = _met(laid.join(found.select("region", "row", "doc_id", "digest", "first", "tokens"), "region"), index.items.select("item", F.col("tokens").alias("own")), "item", index.small_items, "region")
-    tried = texts.select("row", "doc_id", "digest", "item", "shift", _verify("tokens", F.col("first").cast("long"), "own", "shift").alias("v")).where("v.n_same is not null")
+    # by a shuffle: equal passages make the table of regions small on disk, not in memory
+    texts = _met(laid.join(found.select("region", "row", "doc_id", "digest", "first", "tokens").hint("merge"), "region"), index.items.select("item", F.col("tokens").alias("own")), "item", index.small_items, "region")
+    tried = texts.select("row", "doc_id", "digest", "item", "shift", _verify_once("tokens", F.col("first").cast("long"), "own", "shift").alias("v")).where("v.n_same is not null")
     # an overlap may go on in another region of the row
     whole = tried.groupBy("row", "item", "shift").agg(F.first("doc_id").alias("doc_id"), F.first("digest").alias("digest"), F.sum("v.n_same").alias("n_same"), F.sum("v.n_aligned").alias("n_aligned"), F.min("v.doc_word").alias("doc_word"), F.min("v.item_word").alias("item_word"))
     best = F.max_by(F.struct("n_same", "n_aligned", "doc_word", "item_word"), F.struct("n_same", (-F.col("doc_word")).alias("d"), "n_aligned", "item_word"))
