@@ -29,7 +29,7 @@ from ledgerspark.llm.common import delete_path, new_path
 END_ID = 2
 BLOCK_IDS = 1 << 18
 #: Words kept by each Python worker with their ids.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 
 _MARKS = string.punctuation
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
@@ -93,6 +93,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known = _Known(self.learned)
         self.known[""] = b""
+        self.older: dict[str, bytes] = {}
         self.cache_words = cache_words
         probe = "Zürich ÇA straße Ñandú İz ÿ It's a  Test,of \n\n don't <|endoftext|> x<|endoftext|>y 12,5 É.\t é ... , \x1c a\x85b"
         self.ends: dict[str, bytes] = {}
@@ -112,11 +113,19 @@ class WordEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learned(self, w: str) -> bytes:
-        """A new word's ids: letters alone go to the tokenizer's model, ASCII marks after letters are a word of their own, anything else goes through all of the library."""
-        if len(self.known) >= self.cache_words:
+        """A new word's ids: letters alone go to the tokenizer's model, ASCII marks after letters are a word of their own, anything else goes through all of the library.
+
+        The memory has two halves: when the first is full it becomes the second,
+        and what is asked for again moves back, so frequent words stay.
+        """
+        if len(self.known) >= self.cache_words // 2:
+            self.older = dict(self.known)
             self.known.clear()
             self.ends.clear()
             self.known[""] = b""
+        if (ids := self.older.get(w)) is not None:
+            self.known[w] = ids
+            return ids
         head = w.rstrip(_MARKS)
         if not self._plain(head):
             ids = self._whole([w])[0]
