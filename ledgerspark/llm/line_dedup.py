@@ -45,13 +45,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     documents hold is combined before the shuffle; the join back has one row a
     window on its other side, which adaptive execution splits where it is skewed.
     """
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"), F.split(text_col, "\n", -1).alias("lines"))
-    windows = lines.select("doc_id", "tie", F.explode(_windows(F.col("lines"))).alias("w")).select("doc_id", "tie", "w.pos", "w.a", "w.b")
+    lines = F.split("text", "\n", -1)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
+    windows = texts.select("doc_id", "tie", lines.alias("lines")).select("doc_id", "tie", F.explode(_windows(F.col("lines"))).alias("w")).select("doc_id", "tie", "w.pos", "w.a", "w.b")
     place = F.struct("doc_id", "tie", "pos")
     often = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
     later = windows.join(often, ["a", "b"]).where(~place.eqNullSafe(F.col("first")))
     covers = later.groupBy(F.col("doc_id").alias("of_id"), F.col("tie").alias("of_tie")).agg(F.collect_set("pos").alias("starts"))
-    both = lines.join(covers, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("tie") == F.col("of_tie")), "left")
+    # split after the join: a text is shuffled and sorted once, not beside its own lines
+    both = texts.join(covers, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("tie") == F.col("of_tie")), "left").withColumn("lines", lines)
     covered = F.flatten(F.transform("starts", lambda p: F.array(*[p + k for k in range(WINDOW)])))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), covered)
     picked = both.select("doc_id", "text", "lines", F.when(F.col("starts").isNotNull(), kept).alias("kept"))

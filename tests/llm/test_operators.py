@@ -268,6 +268,20 @@ def test_line_dedup_on_awkward_rows(awkward):
     assert line_dedup.dedup_lines(awkward.limit(0)).count() == 0
 
 
+def test_line_dedup_shuffles_texts_without_their_lines(documents):
+    plan, joined = line_dedup.dedup_lines(documents)._jdf.queryExecution().optimizedPlan(), []
+
+    def look(node):
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join":
+            joined.extend(c.schema().simpleString() for c in children)
+        for c in children:
+            look(c)
+
+    look(plan)
+    assert any("text:string" in x for x in joined) and not any("array<string>" in x for x in joined)
+
+
 # --- 4 ---------------------------------------------------------------------------------------------------------
 
 
