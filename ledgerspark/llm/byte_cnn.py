@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import written
+from ledgerspark.llm.common import at_work, written
 
 #: Bytes that a filter sees, and filters.
 WIDTH, FILTERS = 6, 24
@@ -148,6 +148,7 @@ def scorer(net: Net):
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        at_work("byte_cnn")
         return pd.Series(scores(net, texts.tolist()))
 
     return score

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +54,24 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Operators that remember something in this Python worker, and how each forgets it.
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def at_work(operator: str, forget: Callable[[], None] | None = None) -> None:
+    """Called where an operator's work begins in a Python worker: what other operators remember there is given back.
+
+    Workers outlive tasks, stages and queries, so one operator's memory would
+    lie beside all that come after it. The operator's own stays from task to task.
+    """
+    others = [o for o in _remembered if o != operator]
+    for o in others:
+        _remembered.pop(o)()
+    if others:
+        gc.collect()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps what is freed
+            trim(0)
+    if forget:
+        _remembered[operator] = forget

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerspark.llm.common import written
+from ledgerspark.llm.common import at_work, written
 
 #: By least window: masks (1: the token at this offset must agree; 0: any token may stand there) of which one at least
 #: lies on agreeing tokens alone in every window of that many tokens or more, up to the next entry, that passes AGREE.
@@ -66,6 +66,10 @@ class _Names(dict):
 _names = _Names()
 
 
+def _forget() -> None:
+    _names.clear()
+
+
 def token_hashes(text: str | None) -> np.ndarray:
     words = tokens(text)
     return np.fromiter(map(_names.__getitem__, words), np.uint64, len(words))
@@ -262,6 +266,7 @@ def _doc_regions(index: Index):
     masks, sent = index.masks, index.bitmap
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("decontam", _forget)
         counter = [0]
         for batch in batches:
             rows = _number(len(batch), counter)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerspark.llm.common import written
+from ledgerspark.llm.common import at_work, written
 from ledgerspark.llm.components import connected_components
 
 SHINGLE = 3
@@ -51,6 +51,7 @@ def fingerprint(text: str | None) -> int:
 
 @F.pandas_udf(T.LongType())
 def _fingerprints(texts: pd.Series) -> pd.Series:
+    at_work("simhash")
     return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
 

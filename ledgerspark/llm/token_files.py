@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import delete_path, new_path
+from ledgerspark.llm.common import at_work, delete_path, new_path
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
@@ -179,6 +179,7 @@ def _encoder(path: str) -> WordEncoder:
 
 def _tokenized(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("token_files", _encoder.cache_clear)
         encoder = _encoder(path)
         for batch in batches:
             for at in range(0, len(batch), 256):

@@ -4,8 +4,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -747,6 +750,30 @@ def test_pipeline_stages_against_brute_force(spark, sf, tmp_path):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_operators_give_back_what_others_remember_in_a_worker(spark):
+    """The words of a worker that has tokenized stay from task to task, and go where another operator's task begins; so do those of a search."""
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words here", None])], ["doc_id", "text"])
+    index = SimpleNamespace(masks=["111"], bitmap=None)
+
+    def tokenized():
+        return len(list(token_files._tokenized(queries.tokenizer_path(), 2)(iter([batch]))))
+
+    others = (
+        lambda: byte_cnn.scorer(byte_cnn.start()).func(pd.Series(["x"])),
+        lambda: simhash._fingerprints.func(pd.Series(["x"])),
+        lambda: list(decontam._doc_regions(index)(iter([]))),
+    )
+    for other in others:
+        assert tokenized() and token_files._encoder.cache_info().currsize
+        words = token_files._encoder(queries.tokenizer_path()).known
+        assert tokenized() and token_files._encoder(queries.tokenizer_path()).known is words and "some" in words
+        other()
+        assert not token_files._encoder.cache_info().currsize
+    list(decontam._doc_regions(index)(iter([])))
+    decontam.token_hashes("some words")
+    assert decontam._names and tokenized() and not decontam._names
+
+
 def test_pipeline_stages_on_awkward_rows(spark, sf, awkward):
     """Each stage on nulls, empty and very long texts, repeated rows and clashing columns, and on no rows."""
     import corpus_pipeline as pipeline
