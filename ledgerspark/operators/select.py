@@ -97,8 +97,15 @@ def filter_refs(tables: DataFrame, tickers: list[str] = (), years: list[int] = (
     return found if found.head(1) else None
 
 
-def restricted_knn(vectors: DataFrame, queries: DataFrame, allowed: DataFrame, k: int) -> DataFrame:
-    """query_id, ref, score, rank by inner product among the allowed (query_id, ref) pairs only: two equality joins, no Python."""
+def restricted_knn(vectors: DataFrame, queries: DataFrame, allowed: DataFrame | str, k: int) -> DataFrame:
+    """query_id, ref, score, rank by inner product among the allowed (query_id, ref) pairs only: two equality joins, no Python.
+
+    allowed as the name of a column that queries and vectors share allows the
+    pairs that agree there; these are never written out, so that they may be
+    many. The joins take 300 bytes and more a pair.
+    """
+    if isinstance(allowed, str):
+        return retrieve.knn(vectors, queries, k, within=allowed)
     pairs = allowed.select("query_id", "ref").distinct().join(queries.select("query_id", F.col("embedding").alias("q")), "query_id").join(vectors.select("ref", F.col("embedding").alias("v")), "ref")
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     return retrieve.top_k(pairs.select("query_id", "ref", F.round(dot, 6).alias("score")).where("score is not null"), "query_id", k, F.col("score").desc(), F.col("ref"))

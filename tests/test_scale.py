@@ -3,8 +3,10 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerspark.operators import retrieve
+from ledgerspark.operators import retrieve, select
+from ledgerspark.plans import queries_selection
 
 
 def _vectors(spark, n, key=None):
@@ -45,3 +47,13 @@ def test_knn_sends_python_no_pair_of_blocks(spark):
     _, df = _vectors(spark, 60)
     plan = retrieve.knn(df, df.withColumnRenamed("ref", "query_id"), 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_restriction_by_a_shared_column_joins_no_pairs(spark, sf):
+    plan = queries_selection.knn_restricted(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    _, df = _vectors(spark, 90, 3)
+    q = df.where("ref % 5 = 0").withColumnRenamed("ref", "query_id")
+    pairs = q.select("query_id", "k").join(df.select("ref", "k"), "k")
+    rows = lambda d: sorted(tuple(r) for r in d.select("query_id", "ref", F.round("score", 6), "rank").collect())
+    assert rows(select.restricted_knn(df, q, "k", 4)) == rows(select.restricted_knn(df, q, pairs, 4))
