@@ -127,8 +127,9 @@ def hybrid(index: dict[str, DataFrame], vectors: DataFrame | None, questions: Da
         bound = allowed.select("query_id").distinct()
         dense = restricted_knn(vectors, questions, allowed, k).unionByName(retrieve.knn(vectors, questions.join(bound, "query_id", "left_anti").select("query_id", "embedding"), k))
     bonus = questions.where("has_metrics").select("query_id") if "has_metrics" in questions.columns else None
-    fused = retrieve.rrf(lexical, dense, bonus=bonus)
-    raw = fused.join(lexical.select("query_id", "ref", F.col("score").alias("bm25_score")), ["query_id", "ref"], "left").join(dense.select("query_id", "ref", F.col("score").alias("dense_score")), ["query_id", "ref"], "left").fillna(0.0, ["bm25_score", "dense_score"])
+    both = ("bm25_score", "dense_score")
+    lists = [found.withColumns({c: F.col("score") if c == own else F.lit(None).cast("double") for c in both}) for found, own in zip((lexical, dense), both)]
+    raw = retrieve.rrf(*lists, bonus=bonus, keep=both).fillna(0.0, list(both))
     return retrieve.top_k(raw, "query_id", k, F.round("score", 9).desc(), F.col("ref"))
 
 

@@ -90,3 +90,9 @@ def test_bm25_is_brute_force_over_batches(spark, monkeypatch):
 def test_bm25_shuffles_no_pairs_of_query_and_text(spark, sf):
     plan = queries.bm25_topk(spark, sf)._jdf.queryExecution().sparkPlan().toString()
     assert "HashAggregate(keys=[query_id" not in plan and "MapInArrow" in plan
+
+
+def test_hybrid_searches_once(spark, sf):
+    """Scores of both lists come with the ranks, not from joins that search again."""
+    plan = queries_selection.hybrid_rank(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2
