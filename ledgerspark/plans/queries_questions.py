@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.operators import retrieve
-from ledgerspark.plans import answer
+from ledgerspark.plans import answer, synth
 from ledgerspark.plans.queries import RUN, SQL, t
 
 #: Figures of a nation and year: net revenue and profit from its orders, as facts of a company with a code of three letters.
@@ -21,14 +21,15 @@ def code(key: Column) -> Column:
 
 
 def nation_facts(spark: SparkSession, sf: str) -> DataFrame:
-    """A table a nation and year with two rows."""
+    """A table a nation and year with two rows; orders and customers are read once, however often the facts are."""
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     sums = t(spark, sf, "orders").join(t(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").groupBy("c_nationkey", F.year("o_orderdate").alias("year"))
     sums = sums.agg(F.sum(cents).cast("double").alias("r"), F.coalesce(F.sum(F.when(F.col("o_orderstatus") != "O", cents)), F.lit(0)).cast("double").alias("p"))
     line = lambda item, metric, value, i: F.struct(F.lit(item).alias("item"), F.lit(metric).alias("metric"), F.col(value).alias("value"), F.lit(i).alias("row_idx"))
     ticker = code(F.col("c_nationkey"))
     rows = sums.select(ticker.alias("ticker"), "year", F.explode(F.array(line("Doanh thu thuần", "net_revenue", "r", 0), line("Lợi nhuận sau thuế", "profit_after_tax", "p", 1))).alias("x"))
-    return rows.select("ticker", "year", "x.*", F.lit("annual").alias("period"), F.lit("").alias("column_label"), F.concat("ticker", F.lit("_"), F.col("year").cast("string"), F.lit("|1")).alias("table_ref"))
+    facts = rows.select("ticker", "year", "x.*", F.lit("annual").alias("period"), F.lit("").alias("column_label"), F.concat("ticker", F.lit("_"), F.col("year").cast("string"), F.lit("|1")).alias("table_ref"))
+    return synth.kept(facts, "facts")
 
 
 def ask(spark: SparkSession, sf: str, text: Column) -> DataFrame:

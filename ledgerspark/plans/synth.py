@@ -57,6 +57,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """df written once to a scratch folder and read from there: what reads it again and again does not compute it again."""
+    path = f"{scratch(df.sparkSession, label)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def put_files(spark: SparkSession, label: str, bodies: dict[str, bytes]) -> str:
     """A scratch folder with these small files; its path."""
     root = scratch(spark, label)

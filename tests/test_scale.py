@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerspark.operators import retrieve, select
-from ledgerspark.plans import queries, queries_selection
+from ledgerspark.plans import queries, queries_questions, queries_selection
 
 
 def _vectors(spark, n, key=None):
@@ -96,3 +96,9 @@ def test_hybrid_searches_once(spark, sf):
     """Scores of both lists come with the ranks, not from joins that search again."""
     plan = queries_selection.hybrid_rank(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 2
+
+
+def test_facts_of_nations_are_computed_once(spark, sf):
+    """What the sandbox and the questions read again and again is no join of orders and customers."""
+    plan = queries_questions.nation_facts(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
