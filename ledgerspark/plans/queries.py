@@ -35,10 +35,10 @@ def plain_tokens(c: Column) -> Column:
 
 
 def order_facts(spark: SparkSession, sf: str) -> DataFrame:
-    """Facts from rendered reports, through the whole extraction."""
-    docs = synth.reports(t(spark, sf, "orders"))
+    """Facts from rendered reports, through the whole extraction; orders are read once, however often the facts are."""
+    docs = synth.kept(synth.reports(t(spark, sf, "orders")), "reports")
     tables = extract.extract_tables(docs).join(docs.select("doc_id", "fallback_year"), "doc_id").withColumn("ticker", F.substring("doc_id", 1, 3))
-    return standardize.to_facts(tables)
+    return synth.kept(standardize.to_facts(tables), "facts")
 
 
 _TOTALS = "SELECT year(o_orderdate) AS y, o_orderpriority AS p, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS cents FROM orders GROUP BY 1, 2"

@@ -102,3 +102,9 @@ def test_facts_of_nations_are_computed_once(spark, sf):
     """What the sandbox and the questions read again and again is no join of orders and customers."""
     plan = queries_questions.nation_facts(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_facts_of_orders_are_computed_once(spark, sf):
+    """Answers read the facts many times; orders are aggregated and reports extracted before that."""
+    plan = queries.order_facts(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Window" not in plan and "Relation" in plan
